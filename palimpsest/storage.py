@@ -49,3 +49,27 @@ def removed(df: DataFrame) -> None:
     for f in df.inputFiles()[:1]:
         folder = jvm.org.apache.hadoop.fs.Path(f).getParent()
         folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Lets the Python workers of every executor import this package, once per application."""
+    import os
+    import zipfile
+
+    sc = spark.sparkContext
+    if sc.applicationId in _shipped:
+        return
+    here = os.path.dirname(os.path.abspath(__file__))
+    folder = tempfile.mkdtemp(prefix="palimpsest-code-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    with zipfile.ZipFile(f"{folder}/palimpsest.zip", "w") as z:
+        for at, _, files in os.walk(here):
+            for name in files:
+                if name.endswith(".py"):
+                    path = os.path.join(at, name)
+                    z.write(path, os.path.relpath(path, os.path.dirname(here)))
+    sc.addPyFile(f"{folder}/palimpsest.zip")
+    _shipped.add(sc.applicationId)
