@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from palimpsest.llm import chat, decontam, mixing
+from palimpsest.llm import chat, decontam, licenses, mixing, quality, secrets
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -15,6 +15,13 @@ def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_additive_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality and toxicity of every document by additive models trained on the labels."""
+    docs = _read(spark, sf_dir, "documents")
+    model = quality.train(docs, _read(spark, sf_dir, "labels"))
+    return quality.score(docs.select("doc_id", "text"), model).drop("text")
+
+
 def op5_systematic_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which documents a mix at the square root of the sources' sizes draws, and how often."""
     docs = _read(spark, sf_dir, "documents").select("doc_id", "source", "n_chars")
@@ -31,8 +38,21 @@ def op7_spaced_seed_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.find_overlaps(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
 
 
+def op8_linked_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Strong credentials, and weak parts that complement one another."""
+    return secrets.scan(_read(spark, sf_dir, "documents"))
+
+
+def op9_license_compression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License statements, the template each compresses best with, and how its wording differs."""
+    return licenses.scan(_read(spark, sf_dir, "documents"))
+
+
+ALL = (op2_additive_quality, op5_systematic_mix, op6_prefix_target, op7_spaced_seed_leaks, op8_linked_secrets, op9_license_compression)
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op5_systematic_mix, op6_prefix_target, op7_spaced_seed_leaks)}
+    return {f.__name__: f for f in ALL}
 
 
 def oracle_sql() -> dict[str, str]:
