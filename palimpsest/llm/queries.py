@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from palimpsest.llm import chat, decontam, licenses, mixing, quality, secrets
+from palimpsest.llm import chat, decontam, licenses, mixing, neardup, quality, secrets
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -22,6 +22,11 @@ def op2_additive_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs.select("doc_id", "text"), model).drop("text")
 
 
+def op4_signature_tree_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of documents of which half of the word 3-grams are common."""
+    return neardup.join(_read(spark, sf_dir, "documents"))
+
+
 def op5_systematic_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which documents a mix at the square root of the sources' sizes draws, and how often."""
     docs = _read(spark, sf_dir, "documents").select("doc_id", "source", "n_chars")
@@ -48,7 +53,7 @@ def op9_license_compression(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(_read(spark, sf_dir, "documents"))
 
 
-ALL = (op2_additive_quality, op5_systematic_mix, op6_prefix_target, op7_spaced_seed_leaks, op8_linked_secrets, op9_license_compression)
+ALL = (op2_additive_quality, op4_signature_tree_join, op5_systematic_mix, op6_prefix_target, op7_spaced_seed_leaks, op8_linked_secrets, op9_license_compression)
 
 
 def queries() -> dict[str, Query]:
