@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from palimpsest.llm import chat, decontam, licenses, mixing, neardup, quality, secrets
+from palimpsest.llm import chat, decontam, htmltext, licenses, mixing, neardup, quality, secrets, transport
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -15,6 +15,14 @@ def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_transport_streams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Elementary packets of one transport stream a document, which carries its text, some with lost packets.
+
+    No table has media, so the column is written first, from all documents; the parser sees only the bytes.
+    """
+    return transport.demux(transport.mux(_read(spark, sf_dir, "documents")))
+
+
 def op2_additive_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality and toxicity of every document by additive models trained on the labels."""
     docs = _read(spark, sf_dir, "documents")
@@ -22,6 +30,11 @@ def op2_additive_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs.select("doc_id", "text"), model).drop("text")
 
 
+def op3_text_density(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Title and main text of every page."""
+    return htmltext.extracted(_read(spark, sf_dir, "pages"))
+
+
 def op4_signature_tree_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of documents of which half of the word 3-grams are common."""
     return neardup.join(_read(spark, sf_dir, "documents"))
@@ -53,7 +66,7 @@ def op9_license_compression(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(_read(spark, sf_dir, "documents"))
 
 
-ALL = (op2_additive_quality, op4_signature_tree_join, op5_systematic_mix, op6_prefix_target, op7_spaced_seed_leaks, op8_linked_secrets, op9_license_compression)
+ALL = (op1_transport_streams, op2_additive_quality, op3_text_density, op4_signature_tree_join, op5_systematic_mix, op6_prefix_target, op7_spaced_seed_leaks, op8_linked_secrets, op9_license_compression)
 
 
 def queries() -> dict[str, Query]:
