@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from palimpsest.llm import chat, decontam, htmltext, licenses, mixing, neardup, quality, secrets, transport
+from palimpsest.llm import chat, decontam, htmltext, licenses, mixing, neardup, quality, repeats, secrets, transport
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -66,7 +66,12 @@ def op9_license_compression(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(_read(spark, sf_dir, "documents"))
 
 
-ALL = (op1_transport_streams, op2_additive_quality, op3_text_density, op4_signature_tree_join, op5_systematic_mix, op6_prefix_target, op7_spaced_seed_leaks, op8_linked_secrets, op9_license_compression)
+def op10_bwt_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans of 50 tokens or more that several documents share."""
+    return repeats.repeated(_read(spark, sf_dir, "documents"))
+
+
+ALL = (op1_transport_streams, op2_additive_quality, op3_text_density, op4_signature_tree_join, op5_systematic_mix, op6_prefix_target, op7_spaced_seed_leaks, op8_linked_secrets, op9_license_compression, op10_bwt_repeats)
 
 
 def queries() -> dict[str, Query]:
