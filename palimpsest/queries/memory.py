@@ -1 +1,224 @@
-"""x"""
+"""Queries on state, sessions, events, audit, history, erasure and policy, over stand-ins among the tables."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from palimpsest.operators import memory as M
+from palimpsest.plans import merkle
+from palimpsest.queries.catalogue import query
+from palimpsest.queries.retrieval import _META, documents, table
+
+NOW, RETENTION = 3000, 400
+_OPS = "ops AS (SELECT 'c/' || o_custkey AS key, o_orderkey AS ordinal, CASE WHEN o_orderstatus <> 'F' THEN o_orderpriority END AS value FROM orders)"
+_TURNS = "turns AS (SELECT conv_id AS session, turn AS seq, role, conv_id*10+turn AS created_at, CASE WHEN turn%3=0 THEN conv_id*10+turn+500 END AS expires_at FROM conversations)"
+_AUDIT = "audit AS (SELECT event_id, event_type AS head, user_id AS principal, value, row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS seq FROM events)"
+_HEADS = f"heads AS (SELECT tenant AS head, count(*) AS n, max(generation) AS newest FROM ({_META}) GROUP BY tenant)"
+POLICIES = [("few", "*", "min_count", 10, "enforce"), ("many", "src1*", "max_count", 40, "monitor"), ("fresh", "src3", "min_newest", 30, "enforce"), ("stale", "", "min_newest", 10_000, "monitor")]
+
+
+def ops(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = table(spark, sf_dir, "orders")
+    return o.select(F.concat(F.lit("c/"), F.col("o_custkey").cast("string")).alias("key"), F.col("o_orderkey").alias("ordinal"), F.when(F.col("o_orderstatus") != "F", F.col("o_orderpriority")).alias("value"))
+
+
+def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = table(spark, sf_dir, "conversations")
+    at = F.col("conv_id") * 10 + F.col("turn")
+    return c.select(F.col("conv_id").alias("session"), F.col("turn").alias("seq"), "role", at.alias("created_at"), F.when(F.col("turn") % 3 == 0, at + 500).alias("expires_at"))
+
+
+def heads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return documents(spark, sf_dir).groupBy(F.col("tenant").alias("head")).agg(F.count(F.lit(1)).alias("n"), F.max("generation").alias("newest"))
+
+
+@query("state_at_version", f"WITH {_OPS} SELECT key, max(ordinal) AS ordinal, arg_max(coalesce(value, ''), ordinal) AS value FROM ops WHERE ordinal <= 9000 GROUP BY key HAVING value <> ''")
+def state_at_version(spark, sf_dir):
+    return M.state_at(ops(spark, sf_dir), 9000)
+
+
+@query("state_prefix_scan", f"WITH {_OPS} SELECT key, arg_max(coalesce(value, ''), ordinal) AS value FROM ops WHERE starts_with(key, 'c/1') GROUP BY key HAVING value <> ''")
+def state_prefix_scan(spark, sf_dir):
+    return M.prefix_scan(M.state_at(ops(spark, sf_dir)), "c/1").select("key", "value")
+
+
+@query("state_batch_apply", f"WITH {_OPS} SELECT key, arg_max(coalesce(value, ''), ordinal) AS value FROM ops GROUP BY key HAVING value <> ''")
+def state_batch_apply(spark, sf_dir):
+    o = ops(spark, sf_dir)
+    return M.write_many(M.state_at(o, 7000).select("key", "value"), o.where("ordinal > 7000"))
+
+
+@query("state_leaf_boundaries", f"""WITH {_OPS}, h AS (SELECT DISTINCT key, sha256(key) AS h FROM ops), z AS (SELECT key, h, length(regexp_extract(h, '^0*')) AS z FROM h)
+SELECT key, least((z*4 + CASE WHEN substr(h, z+1, 1) >= '8' THEN 0 WHEN substr(h, z+1, 1) >= '4' THEN 1 WHEN substr(h, z+1, 1) >= '2' THEN 2 ELSE 3 END)//5, 16)::INT AS level FROM z""")
+def state_leaf_boundaries(spark, sf_dir):
+    return M.boundaries(ops(spark, sf_dir).select("key").distinct())
+
+
+@query("session_list", f"WITH {_TURNS} SELECT * FROM turns WHERE expires_at IS NULL OR expires_at > {NOW}")
+def session_list(spark, sf_dir):
+    return M.live_turns(turns(spark, sf_dir), NOW)
+
+
+@query("session_gc", f"WITH {_TURNS} SELECT * FROM turns WHERE NOT (expires_at IS NOT NULL AND expires_at <= {NOW} AND created_at + {RETENTION} <= {NOW})")
+def session_gc(spark, sf_dir):
+    return M.collected_turns(turns(spark, sf_dir), NOW, RETENTION)
+
+
+@query("session_next_seq", f"WITH {_TURNS} SELECT session, max(seq)+1 AS next_seq FROM turns GROUP BY session")
+def session_next_seq(spark, sf_dir):
+    return M.next_seq(turns(spark, sf_dir))
+
+
+@query("event_cursor", "SELECT event_id, user_id, event_type FROM events WHERE event_id > 4000")
+def event_cursor(spark, sf_dir):
+    return table(spark, sf_dir, "events").where("event_id > 4000").select("event_id", "user_id", "event_type")
+
+
+@query("event_kind_counts", "SELECT event_type, count(*) AS n, min(event_id) AS first_seq, max(event_id) AS last_seq FROM events GROUP BY event_type")
+def event_kind_counts(spark, sf_dir):
+    return table(spark, sf_dir, "events").groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.min("event_id").alias("first_seq"), F.max("event_id").alias("last_seq"))
+
+
+@query("event_chain", """WITH RECURSIVE e AS (SELECT user_id, event_id, event_type || '|' || coalesce(props, '') AS body, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k FROM events),
+c(log, k, seq, prev, hash) AS (SELECT user_id, k, event_id, '', sha256(body) FROM e WHERE k = 1
+ UNION ALL SELECT log, e.k, event_id, hash, sha256(hash || body) FROM c JOIN e ON e.user_id = c.log AND e.k = c.k + 1)
+SELECT log, seq, prev, hash FROM c""")
+def event_chain(spark, sf_dir):
+    e = table(spark, sf_dir, "events").withColumn("body", F.concat("event_type", F.lit("|"), F.coalesce("props", F.lit(""))))
+    return M.chain(e, "user_id", "event_id", "body").drop("body")
+
+
+@query("event_chain_verify", "SELECT user_id AS log, event_id AS seq, 'rewritten' AS fault FROM events WHERE value > 50")
+def event_chain_verify(spark, sf_dir):
+    """Bodies are changed where the value is above 50, which the check must find."""
+    e = table(spark, sf_dir, "events").withColumn("body", F.concat("event_type", F.lit("|"), F.coalesce("props", F.lit(""))))
+    kept = M.chain(e, "user_id", "event_id", "body")
+    forged = e.where("value > 50").select(F.col("user_id").alias("log"), F.col("event_id").alias("seq"), F.lit("!").alias("mark"))
+    return M.chain_faults(kept.join(forged, ["log", "seq"], "left").withColumn("body", F.concat("body", F.coalesce("mark", F.lit("")))))
+
+
+@query("audit_collect", f"WITH {_AUDIT} SELECT head, seq, event_id, principal FROM audit WHERE event_id BETWEEN 1000 AND 8000")
+def audit_collect(spark, sf_dir):
+    return _audit(spark, sf_dir).where(F.col("event_id").between(1000, 8000)).select("head", "seq", "event_id", "principal")
+
+
+def _audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("event_type").orderBy("event_id")
+    return table(spark, sf_dir, "events").select("event_id", F.col("event_type").alias("head"), F.col("user_id").alias("principal"), "value", F.row_number().over(w).cast("long").alias("seq"))
+
+
+@query("audit_gap_check", f"""WITH {_AUDIT}, kept AS (SELECT head, seq FROM audit WHERE value < 60),
+g AS (SELECT head AS log, seq, seq - lag(seq) OVER (PARTITION BY head ORDER BY seq) - 1 AS missing FROM kept) SELECT * FROM g WHERE missing <> 0""")
+def audit_gap_check(spark, sf_dir):
+    """Records of a value of 60 or more are withheld, which leaves gaps."""
+    return M.gaps(_audit(spark, sf_dir).where("value < 60"), "head", "seq")
+
+
+@query("audit_summary_by_principal", f"WITH {_AUDIT} SELECT head, principal, count(*) AS n, max(event_id) AS last FROM audit GROUP BY ALL")
+def audit_summary_by_principal(spark, sf_dir):
+    return table(spark, sf_dir, "events").groupBy(F.col("event_type").alias("head"), F.col("user_id").alias("principal")).agg(F.count(F.lit(1)).alias("n"), F.max("event_id").alias("last"))
+
+
+@query("compliance_summary", f"WITH {_AUDIT} SELECT head, count(*) AS retrievals, count(DISTINCT principal) AS principals, max(event_id) AS last FROM audit GROUP BY head")
+def compliance_summary(spark, sf_dir):
+    return table(spark, sf_dir, "events").groupBy(F.col("event_type").alias("head")).agg(F.count(F.lit(1)).alias("retrievals"), F.countDistinct("user_id").alias("principals"), F.max("event_id").alias("last"))
+
+
+def commit_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(src, dst): a commit and its parents; every fifth merges the one three before."""
+    g = documents(spark, sf_dir).select("generation").distinct()
+    first = g.where("generation > 0").select(F.col("generation").alias("src"), (F.col("generation") - 1).alias("dst"))
+    return first.union(g.where("generation % 5 = 0 and generation >= 3").select("generation", F.col("generation") - 3))
+
+
+_COMMITS = f"""g AS (SELECT DISTINCT generation FROM ({_META})), edges AS (SELECT generation AS src, generation-1 AS dst FROM g WHERE generation > 0
+ UNION ALL SELECT generation, generation-3 FROM g WHERE generation%5=0 AND generation>=3)"""
+
+
+@query("commit_edges", f"WITH {_COMMITS} SELECT * FROM edges")
+def commit_edges_query(spark, sf_dir):
+    return commit_edges(spark, sf_dir)
+
+
+@query("ancestry", f"WITH RECURSIVE {_COMMITS}, w(node) AS (SELECT 20 UNION SELECT dst FROM w JOIN edges ON src = node) SELECT node::BIGINT AS node FROM w")
+def ancestry(spark, sf_dir):
+    edges = commit_edges(spark, sf_dir)
+    return M.reachable(edges, spark.range(20, 21).select(F.col("id").alias("node")))
+
+
+@query("fast_forward_check", f"""WITH h AS (SELECT tenant, max(generation) AS newest FROM ({_META}) GROUP BY tenant)
+SELECT a.tenant AS local, b.tenant AS remote, CASE WHEN a.newest = b.newest THEN 'same' WHEN a.newest < b.newest THEN 'forward' ELSE 'behind' END AS verdict FROM h a, h b""")
+def fast_forward_check(spark, sf_dir):
+    """Whether one tenant's head could be moved to another's: on a single chain the generation tells."""
+    h = heads(spark, sf_dir)
+    both = h.select(F.col("head").alias("local"), F.col("newest").alias("l")).crossJoin(h.select(F.col("head").alias("remote"), F.col("newest").alias("r")))
+    return both.select("local", "remote", F.when(F.col("l") == F.col("r"), "same").when(F.col("l") < F.col("r"), "forward").otherwise("behind").alias("verdict"))
+
+
+@query("gc_unreachable", f"""WITH d AS ({_META}), b AS (SELECT sha256('blob:' || text) AS hash, min(generation) AS g, octet_length(encode(min(text))) AS n_bytes FROM d WHERE text IS NOT NULL GROUP BY 1)
+SELECT hash, n_bytes FROM b WHERE g > 20""")
+def gc_unreachable(spark, sf_dir):
+    """Blobs that no commit up to generation 20 refers to."""
+    d = documents(spark, sf_dir).where("text is not null").select("generation", M.blob_hash("text").alias("hash"), F.octet_length("text").cast("long").alias("n"))
+    commits = M.reachable(commit_edges(spark, sf_dir), spark.range(20, 21).select(F.col("id").alias("node")))
+    live = d.join(commits, F.col("generation") == F.col("node")).select("hash")
+    return d.groupBy("hash").agg(F.min("n").alias("n_bytes")).join(live, "hash", "left_anti")
+
+
+@query("erasure_plan", f"WITH d AS (SELECT sha256('blob:' || text) AS hash, subject FROM ({_META}) WHERE text IS NOT NULL) SELECT DISTINCT hash FROM d WHERE subject = 's3' AND hash NOT IN (SELECT hash FROM d WHERE subject <> 's3')")
+def erasure_plan(spark, sf_dir):
+    d = documents(spark, sf_dir).where("text is not null").select(M.blob_hash("text").alias("hash"), "subject")
+    return M.erasable(d, "s3")
+
+
+@query("checkpoint_chain", f"""WITH c AS (SELECT tenant AS head, generation, count(*) AS n FROM ({_META}) GROUP BY ALL)
+SELECT head, generation, row_number() OVER w - 1 AS sequence, lag(generation) OVER w AS prev, sum(n) OVER w::BIGINT AS leaves FROM c WINDOW w AS (PARTITION BY head ORDER BY generation)""")
+def checkpoint_chain(spark, sf_dir):
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("head").orderBy("generation")
+    c = documents(spark, sf_dir).groupBy(F.col("tenant").alias("head"), "generation").agg(F.count(F.lit(1)).alias("n"))
+    return c.select("head", "generation", (F.row_number().over(w) - 1).cast("long").alias("sequence"), F.lag("generation").over(w).alias("prev"), F.sum("n").over(w).alias("leaves"))
+
+
+def _policy_sql(where: str) -> str:
+    rows = ", ".join(f"({p!r}, {s!r}, {k!r}, {n}, {m!r})" for p, s, k, n, m in POLICIES)
+    return f"""WITH {_HEADS}, p AS (SELECT * FROM (VALUES {rows}) t(policy, selector, kind, lim, mode)), e AS (SELECT policy, head, CASE
+ WHEN (kind='min_count' AND n>=lim) OR (kind='max_count' AND n<=lim) OR (kind='min_newest' AND newest>=lim) THEN 'pass' WHEN mode='enforce' THEN 'fail' ELSE 'warn' END AS status
+ FROM p, heads WHERE selector IN ('', '*') OR (ends_with(selector,'*') AND starts_with(head, rtrim(selector,'*'))) OR head=selector) {where}"""
+
+
+def _policies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = spark.createDataFrame(POLICIES, "id string, selector string, kind string, limit long, mode string")
+    return M.policy_status(p, heads(spark, sf_dir))
+
+
+@query("policy_eval", _policy_sql("SELECT policy, status, count(*) AS n FROM e GROUP BY ALL"))
+def policy_eval(spark, sf_dir):
+    return _policies(spark, sf_dir).groupBy("policy", "status").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("policy_violations", _policy_sql("SELECT * FROM e WHERE status <> 'pass'"))
+def policy_violations(spark, sf_dir):
+    return _policies(spark, sf_dir).where("status <> 'pass'")
+
+
+@query("manifest_edges", f"SELECT doc_id AS manifest, sha256('blob:' || text) AS blob, tenant AS head FROM ({_META}) WHERE text IS NOT NULL")
+def manifest_edges(spark, sf_dir):
+    return documents(spark, sf_dir).where("text is not null").select(F.col("doc_id").alias("manifest"), M.blob_hash("text").alias("blob"), F.col("tenant").alias("head"))
+
+
+@query("merkle_root")
+def merkle_root(spark, sf_dir):
+    """Root over all order lines, in order of (order, line)."""
+    rows = table(spark, sf_dir, "lineitem").select(F.format_string("%020d/%010d", "l_orderkey", "l_linenumber").alias("data"))
+    return merkle.root(merkle.numbered(rows, "data"))
+
+
+@query("provenance_by_tag", "SELECT user_id, event_id, json_extract(props, '$.k')::BIGINT AS k FROM events WHERE json_extract(props, '$.k')::BIGINT >= 50")
+def provenance_by_tag(spark, sf_dir):
+    e = table(spark, sf_dir, "events").select("user_id", "event_id", F.get_json_object("props", "$.k").cast("long").alias("k"))
+    return e.where("k >= 50")
