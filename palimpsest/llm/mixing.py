@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from palimpsest.llm.names import named
+
 #: Units of one copy.
 ONE = 1 << 32
 #: Parts of a source whose running sums are independent. 30 billion documents, a third of them in
@@ -58,8 +60,10 @@ def mix(
     """
     kept = [c for c in docs.columns if c != "copy"]
     size = F.greatest(F.coalesce(F.col(size_col).cast("bigint"), F.lit(1)), F.lit(1))
-    base = docs.select(*kept).withColumns({"__key": _key(source_col), "__bucket": _bucket(id_col, buckets)})
-    sums = base.select("__key", "__bucket", size.alias("__size")).groupBy("__key", "__bucket")
+    flat = [F.to_json(named(c)) if isinstance(docs.schema[c].dataType, (T.MapType, T.VariantType)) else named(c) for c in kept]
+    # a row is carried as one value, so no name of its columns can clash with those used here
+    base = docs.select(F.struct(*(named(c).alias(f"c{k}") for k, c in enumerate(kept))).alias("__row"), F.col(id_col).alias("__id"), F.xxhash64(*flat).alias("__tie"), _key(source_col).alias("__key"), _bucket(id_col, buckets).alias("__bucket"))
+    sums = docs.select(_key(source_col).alias("__key"), _bucket(id_col, buckets).alias("__bucket"), size.alias("__size")).groupBy("__key", "__bucket")
     sums = sums.agg(F.count(F.lit(1)).alias("__n"), F.sum("__size").alias("__chars"))
 
     sources = sums.groupBy("__key").agg(F.sum("__chars").alias("__chars_s"))
@@ -80,14 +84,13 @@ def mix(
     starts = sums.withColumn("__before", F.coalesce(F.sum("__n").over(before), F.lit(0))).join(sources, "__key")
     starts = starts.where("__e > 0").select("__key", "__bucket", "__before", "__e", "__u")
 
-    flat = [F.to_json(F.col(c)) if isinstance(docs.schema[c].dataType, (T.MapType, T.VariantType)) else F.col(c) for c in kept]
-    within = Window.partitionBy("__key", "__bucket").orderBy(F.col(id_col).asc_nulls_first(), F.xxhash64(*flat))
+    within = Window.partitionBy("__key", "__bucket").orderBy(F.col("__id").asc_nulls_first(), "__tie")
     ranked = base.withColumn("__rank", F.row_number().over(within).cast("bigint"))
     # sums have (key, bucket) as their key too: the larger side is shuffled once, for the window and the join
     drawn = ranked.join(starts, ["__key", "__bucket"])
     upto = lambda rank: F.expr(f"(cast({rank} as decimal(20,0)) * __e + __u) div {ONE}")
     drawn = drawn.withColumn("__copies", (upto("__before + __rank") - upto("__before + __rank - 1")).cast("int")).where("__copies > 0")
-    return drawn.select(*kept, F.explode(F.sequence(F.lit(1), F.col("__copies"))).alias("copy"))
+    return drawn.select(*(F.col("__row")[f"c{k}"].alias(c) for k, c in enumerate(kept)), F.explode(F.sequence(F.lit(1), F.col("__copies"))).alias("copy"))
 
 
 #: DuckDB SQL of op5_systematic_mix.

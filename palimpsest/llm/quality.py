@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from palimpsest.llm.names import fresh, named
 from palimpsest.llm.tokens import Tokens, groups, tokenised
 from palimpsest.storage import removed, ship, written
 
@@ -293,6 +294,7 @@ def score(docs: DataFrame, model: Classifier, *, text_col: str = "text", min_qua
         return pa.StructArray.from_arrays([pa.array(c) for c in cols], ["q", "t"])
 
     kept = [c for c in docs.columns if c not in ("quality_score", "toxic_score", "keep")]
-    out = docs.select(*kept, scores(F.coalesce(F.col(text_col), F.lit(""))).alias("__s"))
-    keep = (F.col("__s.q") >= min_quality) & (F.col("__s.t") < max_toxicity)
-    return out.select(*kept, F.col("__s.q").alias("quality_score"), F.col("__s.t").alias("toxic_score"), keep.alias("keep"))
+    own = fresh("scores", docs)
+    out = docs.select(*(named(c) for c in kept), scores(F.coalesce(named(text_col), F.lit(""))).alias(own))
+    q, t = F.col(own)["q"], F.col(own)["t"]
+    return out.select(*(named(c) for c in kept), q.alias("quality_score"), t.alias("toxic_score"), ((q >= min_quality) & (t < max_toxicity)).alias("keep"))

@@ -26,6 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from palimpsest.llm.names import fresh, named
 from palimpsest.storage import ship
 
 GAP = 200
@@ -174,8 +175,9 @@ def redact(docs: DataFrame, *, gap: int = GAP, text_col: str = "text", size_col:
                 found[k] = "".join([*out, text[at:]])
         return pa.array([found.get(k) for k in range(len(texts))], pa.string())
 
-    out = docs.withColumn("__clean", cleaned(F.col(text_col)))
-    new = {text_col: F.coalesce("__clean", F.col(text_col))}
+    clean = fresh("clean", docs)
+    out = docs.withColumn(clean, cleaned(named(text_col)))
+    new = {text_col: F.coalesce(F.col(clean), named(text_col))}
     if size_col in docs.columns:
-        new[size_col] = F.when(F.col("__clean").isNotNull(), F.length("__clean").cast("bigint")).otherwise(F.col(size_col))
-    return out.withColumns(new).select(*docs.columns)
+        new[size_col] = F.when(F.col(clean).isNotNull(), F.length(clean).cast("bigint")).otherwise(named(size_col))
+    return out.select(*(new[c].alias(c) if c in new else named(c) for c in docs.columns))
