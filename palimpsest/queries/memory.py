@@ -158,10 +158,11 @@ def fast_forward_check(spark, sf_dir):
     return both.select("local", "remote", F.when(F.col("l") == F.col("r"), "same").when(F.col("l") < F.col("r"), "forward").otherwise("behind").alias("verdict"))
 
 
-@query("gc_unreachable", f"""WITH d AS ({_META}), b AS (SELECT sha256('blob:' || text) AS hash, min(generation) AS g, octet_length(encode(min(text))) AS n_bytes FROM d WHERE text IS NOT NULL GROUP BY 1)
-SELECT hash, n_bytes FROM b WHERE g > 20""")
+@query("gc_unreachable", f"""WITH RECURSIVE {_COMMITS}, w(node) AS (SELECT 20 UNION SELECT dst FROM w JOIN edges ON src = node),
+d AS (SELECT sha256('blob:' || text) AS hash, generation, octet_length(encode(text)) AS n_bytes FROM ({_META}) WHERE text IS NOT NULL)
+SELECT hash, min(n_bytes) AS n_bytes FROM d WHERE hash NOT IN (SELECT hash FROM d JOIN w ON generation = node) GROUP BY hash""")
 def gc_unreachable(spark, sf_dir):
-    """Blobs that no commit up to generation 20 refers to."""
+    """Blobs to which neither commit 20 nor any it descends from refers."""
     d = documents(spark, sf_dir).where("text is not null").select("generation", M.blob_hash("text").alias("hash"), F.octet_length("text").cast("long").alias("n"))
     commits = M.reachable(commit_edges(spark, sf_dir), spark.range(20, 21).select(F.col("id").alias("node")))
     live = d.join(commits, F.col("generation") == F.col("node")).select("hash")
