@@ -4,8 +4,10 @@ A spaced seed is a mask over successive tokens of which only the marked position
 window still matches where substituted tokens fall on the ignored positions. Every window of every
 document, under every mask, is looked up among those of the benchmark. A hit names an item and a
 diagonal (document position minus item position); hits of one diagonal are verified together on the
-tokens themselves: the best-scoring stretch with +1 for an equal and -2 for a substituted token,
-which must have ``min_tokens`` tokens (or be the whole of a shorter item) and ``min_ratio`` of them equal.
+tokens themselves. An overlap is a stretch that begins and ends with equal tokens, has ``min_tokens`` tokens
+(or is the whole of a shorter item) and ``min_ratio`` of them equal. The best-scoring one is taken, with +1 for
+an equal and -2 for a substituted token, or if that is none the longest, and then the same on either side of it,
+so that every overlap of a diagonal is reported or meets one that is.
 
 The benchmark side is fitted to memory by a checked size. Up to ``broadcast_windows`` windows (16
 bytes each) its hashes go to every worker as a sorted array and a document is never shuffled. Beyond
@@ -116,18 +118,44 @@ def best_stretch(equal: np.ndarray) -> tuple[int, int]:
     return start, to
 
 
-def verified(ix: Index, h: np.ndarray, first: int, last: int, item: int, diagonal: int, min_tokens: int, min_ratio: float):
-    """(doc token from, to, item from, to, equal tokens) of the overlap on a diagonal, or None."""
+def longest_stretch(equal: np.ndarray, min_ratio: float) -> tuple[int, int]:
+    """[from, to) of the longest stretch between equal tokens of which ``min_ratio`` are equal, the first of ties."""
+    (at,) = np.nonzero(equal)
+    if not len(at):
+        return 0, 0
+    k = np.arange(len(at))
+    before, after = k - min_ratio * at, k + 1 - min_ratio * (at + 1)
+    start = np.searchsorted(-np.minimum.accumulate(before), -(after + 1e-9))  # the first that isn't above
+    best = int(np.argmax(at - at[start]))
+    return int(at[start[best]]), int(at[best]) + 1
+
+
+def stretches(equal: np.ndarray, least: int, min_ratio: float) -> list[tuple[int, int]]:
+    """Disjoint stretches, in order, of ``least`` tokens or more with ``min_ratio`` of them equal."""
+    out, todo = [], [(0, len(equal))]
+    while todo:
+        lo, hi = todo.pop()
+        part = equal[lo:hi]
+        if hi - lo < least or part.sum() < min_ratio * least - 1e-9:
+            continue
+        s, t = best_stretch(part)
+        if t - s < least or part[s:t].sum() < min_ratio * (t - s) - 1e-9:
+            s, t = longest_stretch(part, min_ratio)
+        if t - s >= max(1, least):
+            out.append((lo + s, lo + t))
+            todo += [(lo, lo + s), (lo + t, hi)]
+    return sorted(out)
+
+
+def verified(ix: Index, h: np.ndarray, first: int, last: int, item: int, diagonal: int, min_tokens: int, min_ratio: float) -> list[tuple]:
+    """(doc token from, to, item from, to, equal tokens) of the overlaps on a diagonal."""
     a, b = int(ix.first[item]), int(ix.first[item + 1])
     lo, hi = max(0, first - diagonal), min(b - a, last - diagonal)
     if hi <= lo:
-        return None
+        return []
     equal = h[diagonal + lo : diagonal + hi] == ix.tokens[a + lo : a + hi]
-    s, t = best_stretch(equal)
-    n = int(equal[s:t].sum())
-    if t - s < min(min_tokens, b - a) or n < min_ratio * (t - s):
-        return None
-    return diagonal + lo + s, diagonal + lo + t, lo + s, lo + t, n
+    found = stretches(equal, min(min_tokens, b - a), min_ratio)
+    return [(diagonal + lo + s, diagonal + lo + t, lo + s, lo + t, int(equal[s:t].sum())) for s, t in found]
 
 
 def overlaps(ix: Index, t: Tokens, min_tokens: int, min_ratio: float) -> list[tuple]:
@@ -144,8 +172,7 @@ def overlaps(ix: Index, t: Tokens, min_tokens: int, min_ratio: float) -> list[tu
             mine = found.setdefault("by", _texts(item, p - q, doc[p]))[(i, d)]
         for k in mine:
             first, last = int(t.first[k]), int(t.first[k + 1])
-            got = verified(ix, t.hash, first, last, i, d, min_tokens, min_ratio)
-            if got:
+            for got in verified(ix, t.hash, first, last, i, d, min_tokens, min_ratio):
                 out.append((int(k), i, got[0] - first, got[1] - first, *got[2:]))
     return sorted(set(out))
 
