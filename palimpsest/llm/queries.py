@@ -36,8 +36,8 @@ def op3_text_density(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_signature_tree_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pairs of documents of which half of the word 3-grams are common."""
-    return neardup.join(_read(spark, sf_dir, "documents"))
+    """All pairs of documents of which half of the word 3-grams are common, copies with copies too."""
+    return neardup.join(_read(spark, sf_dir, "documents"), copies=True)
 
 
 def op5_systematic_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
