@@ -2,11 +2,15 @@
 
 A block that looks like a license statement is compressed with zstandard twice over: by itself, and
 with a template as raw dictionary. The more of its wording the template has, the less is left to
-write, so templates are ranked by the relative reduction. The best few are confirmed on the words
+write, so templates are ranked by the relative reduction. All above the bar are confirmed on the words
 themselves: the edit script between the block and the closest wording of the template gives the words
-that are missing, added and changed, and a winner must keep ``min_kept`` of the wording's words.
+that are missing, added and changed, and a winner must keep ``min_kept`` of the wording's words. Where
+the whole block stays under the bar, the part of it that a wording covers is measured instead, so
+that text around a notice doesn't hide it.
 
-Blocks are runs of lines with a cue word; a compiled test for the cues turns other texts away first.
+Blocks are the sentences with a cue word of runs of lines with one; a compiled test for the cues turns
+other texts away first. All licenses of a block are reported, the second and later ones only by words of
+their own, such as a name or a version, that none before has used.
 Everything happens where the text is; nothing is shuffled.
 """
 
@@ -47,36 +51,37 @@ TEMPLATES: dict[str, list[str]] = {
     "Unlicense": ["This is free and unencumbered software released into the public domain."],
     "Proprietary": ["Copyright. All rights reserved.", "All rights reserved. No part may be reproduced without permission."],
 }
-CUES = r"(?i)licen[sc]e|copyright|all rights reserved|public domain|spdx|\bgpl|creative commons"
+CUES = r"(?i)licen[sc]e|copyright|all rights reserved|public domain|spdx|\bgpl|creative commons|\bcc0\b"
 _CUE = re.compile(CUES)
 _WORD = re.compile(r"[^\W_]+(?:[.\-+][^\W_]+)*")
-MIN_REDUCTION, MIN_KEPT, CONFIRM = 0.15, 0.6, 4
-#: Characters of a line that are one block; a longer line is cut at sentence ends around its cues.
+MIN_REDUCTION, MIN_KEPT = 0.15, 0.6
+#: Characters that lines joined to one run have at most.
 BLOCK = 1000
+#: Words that don't tell licenses apart.
+_GLUE = frozenset(_WORD.findall("released licensed distributed dedicated under the terms of this project work is to a in see for more information license version general public gnu creative commons cc international"))
+_SENTENCE = re.compile(r"[^.!?]*(?:[.!?](?!\s)[^.!?]*)*(?:[.!?]+|$)")
 OUT = "doc_id long, char_from int, char_to int, license string, reduction double, wording int, kept double, n_missing int, n_added int, n_changed int, exact boolean"
 
 
-def blocks(text: str) -> list[tuple[int, int]]:
-    """[from, to) of candidate blocks: runs of lines with a cue, long lines cut to sentences with one."""
-    out: list[tuple[int, int]] = []
+def blocks(text: str) -> list[tuple[int, int, int]]:
+    """[from, to) of candidate blocks, the sentences with a cue of runs of lines with one, and the end of the sentence that follows in the run."""
+    runs: list[tuple[int, int]] = []
     at, joined = 0, False
     for line in text.split("\n"):
         end = at + len(line)
-        if not _CUE.search(line):
-            joined = False
-        elif len(line) <= BLOCK:
-            if joined and end - out[-1][0] <= BLOCK:
-                out[-1] = (out[-1][0], end)
-            else:
-                out.append((at, end))
-            joined = True
-        else:
-            joined = False
-            for m in re.finditer(r"[^.!?]*(?:[.!?](?!\s)[^.!?]*)*(?:[.!?]+|$)", line):
-                if m.end() > m.start() and _CUE.search(m.group()):
-                    lead = len(m.group()) - len(m.group().lstrip())
-                    out.append((at + m.start() + lead, at + m.end()))
+        cue = bool(_CUE.search(line))
+        if cue and joined and end - runs[-1][0] <= BLOCK:
+            runs[-1] = (runs[-1][0], end)
+        elif cue:
+            runs.append((at, end))
+        joined = cue
         at = end + 1
+    out = []
+    for a, b in runs:
+        cut = [(a + m.start() + len(m.group()) - len(m.group().lstrip()), a + m.end()) for m in _SENTENCE.finditer(text[a:b]) if m.group().strip()]
+        for k, (x, y) in enumerate(cut):
+            if _CUE.search(text, x, y):
+                out.append((x, y, cut[k + 1][1] if k + 1 < len(cut) else y))
     return out
 
 
@@ -93,6 +98,7 @@ class Ranker:
             d.precompute_compress(level=level)
             self.given.append(zstandard.ZstdCompressor(dict_data=d, write_content_size=False, write_checksum=False, write_dict_id=False))
         self.words = [[_WORD.findall(w.lower()) for w in TEMPLATES[n]] for n in self.names]
+        self.own = [[set(w) - _GLUE for w in wordings] for wordings in self.words]
 
     def reductions(self, block: str) -> list[tuple[float, int]]:
         """(relative reduction, template) from the largest."""
@@ -100,32 +106,77 @@ class Ranker:
         alone = max(1, len(self.plain.compress(b)))
         return sorted(((1 - len(c.compress(b)) / alone, k) for k, c in enumerate(self.given)), key=lambda r: (-r[0], r[1]))
 
-    def best(self, block: str):
-        """(license, reduction, wording, kept, missing, added, changed, exact) or None."""
-        words = _WORD.findall(block.lower())
-        found = None
-        for reduction, k in self.reductions(block)[:CONFIRM]:
-            if reduction < MIN_REDUCTION:
-                break
+    def covered(self, block: str, k: int, wording: list[str], spans: list[tuple[int, int]], words: list[str]):
+        """(reduction, first word, last word and one) of the part of a block that is closest to a wording."""
+        m = SequenceMatcher(None, wording, words, autojunk=False).find_longest_match()
+        if not m.size:
+            return 0.0, 0, 0
+        lo, hi = max(0, m.b - 2 * m.a), min(len(words), m.b + m.size + 2 * (len(wording) - m.a - m.size))
+        same = [x for x in SequenceMatcher(None, wording, words[lo:hi], autojunk=False).get_matching_blocks() if x.size]
+        lo, hi = lo + same[0].b, lo + same[-1].b + same[-1].size
+        part = block[spans[lo][0] : spans[hi - 1][1]].lower().encode("utf-8", "replace")
+        return 1 - len(self.given[k].compress(part)) / max(1, len(self.plain.compress(part))), lo, hi
+
+    def found(self, block: str) -> list[tuple]:
+        """(from, to, license, reduction, wording, kept, missing, added, changed, exact) of all licenses of a block, the best first."""
+        at = [(m.group(), m.span()) for m in _WORD.finditer(block.lower())]
+        words, spans, have = [w for w, _ in at], [p for _, p in at], {w for w, _ in at}
+        ranked = []
+        for whole, k in self.reductions(block):
             for w, wording in enumerate(self.words[k]):
+                reduction, lo, hi, a, b = whole, 0, len(words), 0, len(block)
+                if whole < MIN_REDUCTION:
+                    if not self.own[k][w] <= have:
+                        continue
+                    reduction, lo, hi = self.covered(block, k, wording, spans, words)
+                    if reduction < MIN_REDUCTION:
+                        continue
+                    a, b = spans[lo][0], spans[hi - 1][1]
+                    b += block[b : b + 1] == "."
                 missing = added = changed = kept = 0
-                for op, a, b, c, d in SequenceMatcher(None, wording, words, autojunk=False).get_opcodes():
+                used = set()
+                for op, i, j, c, d in SequenceMatcher(None, wording, words[lo:hi], autojunk=False).get_opcodes():
                     if op == "equal":
-                        kept += b - a
+                        kept += j - i
+                        used.update(range(lo + c, lo + d))
                     elif op == "delete":
-                        missing += b - a
+                        missing += j - i
                     elif op == "insert":
-                        added += (d - c) if 0 < a < len(wording) else 0  # words around the wording are no difference
+                        added += (d - c) if 0 < i < len(wording) else 0  # words around the wording are no difference
                     else:
-                        changed += max(b - a, d - c) if 0 < a and b < len(wording) else b - a
-                rank = (kept / len(wording), -added - changed, reduction)
-                if kept >= MIN_KEPT * len(wording) and (found is None or rank > found[0]):
-                    found = (rank, (self.names[k], round(reduction, 6), w, round(kept / len(wording), 6), missing, added, changed, missing + added + changed == 0))
-        return found[1] if found else None
+                        changed += max(j - i, d - c) if 0 < i and j < len(wording) else j - i
+                if kept >= MIN_KEPT * len(wording):
+                    row = (a, b, self.names[k], round(reduction, 6), w, round(kept / len(wording), 6), missing, added, changed, missing + added + changed == 0)
+                    ranked.append(((kept / len(wording), -added - changed, reduction), row, used, self.own[k][w]))
+        ranked.sort(key=lambda r: r[0], reverse=True)
+        out, taken, names = [], set(), set()
+        for _, row, used, own in ranked:
+            mine = {p for p in used if words[p] in own}
+            if out and (row[2] in names or not own <= {words[p] for p in mine} or mine & taken):
+                continue
+            out.append(row)
+            names.add(row[2])
+            taken |= used
+        return out
+
+
+def notices(ranker: Ranker, text: str) -> list[tuple]:
+    """What ``Ranker.found`` has of the blocks of a text; two sentences are one block where only both are an exact wording."""
+    out, done = [], 0
+    for a, b, c in blocks(text):
+        if a < done:
+            continue
+        got = ranker.found(text[a:b])
+        if c > b and not any(r[-1] for r in got):
+            both = ranker.found(text[a:c])
+            if any(r[-1] and a + r[1] > b and a + r[0] < b for r in both) and not any(r[-1] for r in ranker.found(text[b:c].lstrip())):
+                got, done = both, c
+        out += [(a + r[0], a + r[1], *r[2:]) for r in got]
+    return out
 
 
 def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row a block that some template wins (schema ``OUT``).
+    """One row for each license of a block (schema ``OUT``).
 
     Positions count characters. Null and empty texts have no blocks; a null id stays null; repeated
     rows give repeated results. Other columns are ignored. Of equal templates the one listed first
@@ -142,10 +193,7 @@ def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") ->
             hit = pc.fill_null(pc.match_substring_regex(texts, CUES), False)
             for k in pc.indices_nonzero(hit).to_pylist():
                 text = texts[k].as_py()
-                for a, b in blocks(text):
-                    got = ranker.best(text[a:b])
-                    if got:
-                        rows.append((ids[k].as_py(), a, b, *got))
+                rows += [(ids[k].as_py(), *r) for r in notices(ranker, text)]
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names)
 
