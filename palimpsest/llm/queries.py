@@ -36,8 +36,8 @@ def op3_text_density(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_signature_tree_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All pairs of documents of which half of the word 3-grams are common, copies with copies too."""
-    return neardup.join(_read(spark, sf_dir, "documents"), copies=True)
+    """Each document of which another has at least half of all word 3-grams of the two: its class and number of links."""
+    return neardup.classes(_read(spark, sf_dir, "documents"))
 
 
 def op5_systematic_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

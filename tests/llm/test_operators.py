@@ -159,8 +159,11 @@ def test_tree_never_drops_a_true_pair():
     packed = np.packbits(bits, axis=1).view(np.uint64)
     n = np.array([len(g) for g in grams])
     share = 0.5 / 1.5 - 1e-9
-    i, j = neardup.bucket_pairs(n, packed, share)
-    found = {tuple(sorted(p)) for p in zip(*(x.tolist() for x in neardup._kept(i, j, n, packed, share)))}
+    found = {tuple(sorted(p)) for i, j in neardup.bucket_pairs(n, packed, share) for p in zip(*(x.tolist() for x in neardup._kept(i, j, n, packed, share)))}
+    for split in (1, 70, 209):  # two trees
+        order = np.concatenate([np.arange(split), split + np.argsort(n[split:], kind="stable")])
+        two = {(order[x], order[y]) for i, j in neardup.bucket_pairs(n[order], packed[order], share, split) for x, y in zip(*(v.tolist() for v in neardup._kept(i, j, n[order], packed[order], share)))}
+        assert {p for p in found if p[0] < split <= p[1]} <= two
     for a, b in itertools.combinations(range(len(grams)), 2):
         x = len(np.intersect1d(grams[a], grams[b]))
         if x / (len(grams[a]) + len(grams[b]) - x) >= 0.5:
