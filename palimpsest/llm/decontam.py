@@ -10,9 +10,10 @@ an equal and -2 for a substituted token, or if that is none the longest, and the
 so that every overlap of a diagonal is reported or meets one that is.
 
 The benchmark side is fitted to memory by a checked size. Up to ``broadcast_windows`` windows (16
-bytes each) its hashes go to every worker as a sorted array and a document is never shuffled. Beyond
-that, window hashes of documents are thinned by a Bloom filter of fixed size and joined with the
-benchmark's by a shuffle, and the tokens around the hits are verified after it: same result.
+bytes each, counted before) its hashes go to every worker as a sorted array and a document is never
+shuffled. Beyond that, window hashes of documents are thinned by a Bloom filter of bounded size and joined
+with the benchmark's by a shuffle; the diagonals that hit are gathered by document, with the texts of its
+items, and verified in one pass over the document: same result.
 """
 
 from __future__ import annotations
@@ -24,7 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.llm.tokens import U64, Tokens, buffers, mix, tokenised
+from palimpsest.llm.names import fresh, named
+from palimpsest.llm.tokens import U64, Tokens, mix, tokenised
 from palimpsest.storage import ship, written
 
 #: Weight 8, over 8 to 13 tokens: contiguous, and three that let substitutions by.
@@ -32,8 +34,8 @@ MASKS = ("11111111", "1101100111011", "1110010110111", "111011010011")
 MIN_TOKENS, MIN_RATIO = 13, 0.8
 #: Benchmark windows that are sent to every worker; 16 bytes each, so 64 MB.
 BROADCAST_WINDOWS = 4_000_000
-#: Bits of the Bloom filter of the way beyond (8 MB), whatever the benchmark's size.
-BLOOM_BITS = 1 << 26
+#: Most bits of the Bloom filter of the way beyond (64 MB). It has 16 a window up to there; beyond, more windows pass it and are joined.
+BLOOM_BITS = 1 << 29
 _ODD = U64(0x9E3779B97F4A7C15)
 OUT = "doc_id long, item_id long, doc_from long, doc_to long, item_from int, item_to int, n_equal int, ratio double"
 
@@ -61,7 +63,7 @@ def _short_masks(masks: tuple[str, ...], n: int) -> list[str]:
 class Index:
     """The benchmark's tokens, and its windows sorted by hash, as arrays that pickle well."""
 
-    def __init__(self, items: np.ndarray, texts: pa.Array, masks: tuple[str, ...] = MASKS):
+    def __init__(self, items: np.ndarray, texts: pa.Array, masks: tuple[str, ...] = MASKS, search: bool = True):
         hashes, firsts, ids = [], [0], []
         for i, j, t in tokenised(texts):
             hashes.append(t.hash)
@@ -69,6 +71,8 @@ class Index:
             ids.extend(items[i:j].tolist())
         self.tokens = np.concatenate(hashes) if hashes else np.empty(0, U64)
         self.first, self.ids = np.array(firsts, np.int64), np.array(ids, np.int64)
+        if not search:
+            return
         self.masks: list[str] = list(masks)
         keys, at = [], []
         for k, (a, b) in enumerate(zip(self.first[:-1], self.first[1:])):
@@ -147,13 +151,24 @@ def stretches(equal: np.ndarray, least: int, min_ratio: float) -> list[tuple[int
     return sorted(out)
 
 
-def verified(ix: Index, h: np.ndarray, first: int, last: int, item: int, diagonal: int, min_tokens: int, min_ratio: float) -> list[tuple]:
-    """(doc token from, to, item from, to, equal tokens) of the overlaps on a diagonal."""
+def seeded(equal: np.ndarray, masks: list[str]) -> bool:
+    """Whether a window of a diagonal is equal at all marked positions of a mask."""
+    for m in masks:
+        n = len(equal) - len(m) + 1
+        if n > 0 and np.logical_and.reduce([equal[k : k + n] for k, c in enumerate(m) if c == "1"]).any():
+            return True
+    return False
+
+
+def verified(ix: Index, h: np.ndarray, first: int, last: int, item: int, diagonal: int, min_tokens: int, min_ratio: float, masks: tuple[str, ...] = ()) -> list[tuple]:
+    """(doc token from, to, item from, to, equal tokens) of the overlaps on a diagonal; with masks, of one that has a hit."""
     a, b = int(ix.first[item]), int(ix.first[item + 1])
     lo, hi = max(0, first - diagonal), min(b - a, last - diagonal)
     if hi <= lo:
         return []
     equal = h[diagonal + lo : diagonal + hi] == ix.tokens[a + lo : a + hi]
+    if masks and not seeded(equal, _short_masks(masks, b - a)):
+        return []
     found = stretches(equal, min(min_tokens, b - a), min_ratio)
     return [(diagonal + lo + s, diagonal + lo + t, lo + s, lo + t, int(equal[s:t].sum())) for s, t in found]
 
@@ -199,17 +214,18 @@ def find_overlaps(
     """One row for each verified overlap of a document with a benchmark item (schema ``OUT``).
 
     Positions count tokens. A null or empty text on either side gives nothing, and neither does an
-    item of fewer than 4 tokens. A document without an id can't be named and is left out, as is an
-    item without one; repeated rows give repeated rows of documents, and once for repeated items.
-    Either table may be empty. Other columns are ignored.
+    item of fewer than 4 tokens. Texts may be of any length. A document without an id can't be named and is
+    left out, as is an item without one; ids are whole numbers. Repeated rows give repeated rows of documents,
+    and once for repeated items. Either table may be empty. Other columns are ignored. Which way is taken
+    changes no row.
     """
     spark = docs.sparkSession
     ship(spark)
-    d = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.lower(F.col(text_col)).alias("text"))
-    b = benchmark.where(F.col(item_col).isNotNull()).select(F.col(item_col).cast("long").alias("item_id"), F.lower(F.col(text_col)).alias("text"))
-    b = b.where("text is not null").distinct()
-    if windows_of(b, masks) > broadcast_windows:
-        return _shuffled(d, b, masks, min_tokens, min_ratio)
+    d = docs.where(named(id_col).isNotNull()).select(named(id_col).cast("long").alias("doc_id"), F.lower(named(text_col)).alias("text"))
+    b = _items(benchmark, item_col, text_col)
+    windows = windows_of(b, masks)
+    if windows > broadcast_windows:
+        return _shuffled(d, b, windows, masks, min_tokens, min_ratio)
     shared = spark.sparkContext.broadcast(_index(b, masks))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -224,10 +240,20 @@ def find_overlaps(
     return d.mapInArrow(scan, OUT)
 
 
+def _items(benchmark: DataFrame, item_col: str, text_col: str) -> DataFrame:
+    b = benchmark.where(named(item_col).isNotNull() & named(text_col).isNotNull())
+    return b.select(named(item_col).cast("long").alias("item_id"), F.lower(named(text_col)).alias("text")).distinct()
+
+
 def windows_of(b: DataFrame, masks: tuple[str, ...]) -> int:
-    """At least as many windows as the benchmark has: it has no more tokens than runs of separators and one."""
-    n = b.agg(F.sum(F.length("text"))).first()[0]
-    return (n or 0) * len(masks) // 2
+    """The windows that the benchmark has under all masks."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = sum(max(0, int(k) - len(m) + 1) for _, _, t in tokenised(batch.column(0)) for k in np.diff(t.first) for m in _short_masks(masks, int(k)))
+            yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], ["n"])
+
+    return b.select("text").mapInArrow(count, "n long").agg(F.sum("n")).first()[0] or 0
 
 
 def _index(b: DataFrame, masks: tuple[str, ...]) -> Index:
@@ -235,10 +261,10 @@ def _index(b: DataFrame, masks: tuple[str, ...]) -> Index:
     return Index(table["item_id"].to_numpy(), table["text"].combine_chunks(), masks)
 
 
-def _batch(rows: list[tuple], ix: Index) -> pa.RecordBatch:
+def _batch(rows: list[tuple], ix: Index, key: pa.DataType = pa.int64()) -> pa.RecordBatch:
     c = list(zip(*rows))
     ratio = [n / max(1, b - a) for a, b, n in zip(c[2], c[3], c[6])]
-    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.float64())
+    kinds = (key, pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.float64())
     cols = (c[0], ix.ids[list(c[1])].tolist(), c[2], c[3], c[4], c[5], c[6], ratio)
     names = [x.split()[0] for x in OUT.split(", ")]
     return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(cols, kinds)], names)
@@ -250,7 +276,7 @@ def _window_rows(masks: tuple[str, ...], bloom=None):
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = bloom.value if bloom is not None else None
         for batch in batches:
-            ids = batch.column(0).to_numpy()
+            ids = batch.column(0)
             for i, _, t in tokenised(batch.column(1)):
                 doc, lens = t.doc, np.diff(t.first)
                 wanted = {m: k for k, m in enumerate(masks)}
@@ -266,60 +292,94 @@ def _window_rows(masks: tuple[str, ...], bloom=None):
                     if bits is None and m not in masks:
                         p = p[lens[doc[p]] == len(m)]
                     elif bits is not None:
-                        p = p[bits[(s[p] & U64(BLOOM_BITS - 1)).astype(np.int64)]]
+                        p = p[_in_bloom(bits, s[p])]
                     if len(p):
-                        yield pa.RecordBatch.from_arrays([pa.array(ids[i + doc[p]]), pa.array(s[p].view(np.int64)), pa.array(p - t.first[doc[p]])], ["id", "h", "at"])
+                        yield pa.RecordBatch.from_arrays([ids.take(pa.array(i + doc[p])), pa.array(s[p].view(np.int64)), pa.array(p - t.first[doc[p]])], ["id", "h", "at"])
 
     return emit
 
 
-def _shuffled(d: DataFrame, b: DataFrame, masks: tuple[str, ...], min_tokens: int, min_ratio: float) -> DataFrame:
-    """The way beyond the broadcast: hashes joined by a shuffle, then texts of both sides brought to each pair."""
+def _in_bloom(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
+    at = (h & U64(len(bits) * 8 - 1)).astype(np.int64)
+    return (bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 != 0
+
+
+def _hits(d: DataFrame, b: DataFrame, windows: int, masks: tuple[str, ...]) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, item_id, diagonals) of windows in common, by a shuffle, and the benchmark as it was written."""
     b = written(b, "bench")
     bench = written(b.mapInArrow(_window_rows(masks), "item_id long, h long, q long"), "bench-windows")
+    size = min(BLOOM_BITS, max(1 << 20, 1 << int(16 * windows).bit_length()))
 
     def fill(batches):
-        bits = np.zeros(BLOOM_BITS, bool)
+        bits = np.zeros(size // 8, np.uint8)
         for batch in batches:
-            bits[batch.column(0).to_numpy() & (BLOOM_BITS - 1)] = True
-        yield pa.RecordBatch.from_arrays([pa.array([np.packbits(bits).tobytes()])], ["bits"])
+            at = batch.column(0).to_numpy().view(U64) & U64(size - 1)
+            np.bitwise_or.at(bits, (at >> U64(3)).astype(np.int64), np.uint8(1) << (at & U64(7)).astype(np.uint8))
+        yield pa.RecordBatch.from_arrays([pa.array([bits.tobytes()])], ["bits"])
 
-    merged = np.zeros(BLOOM_BITS // 8, np.uint8)
+    merged = np.zeros(size // 8, np.uint8)
     for part in bench.select("h").coalesce(8).mapInArrow(fill, "bits binary").toLocalIterator():
         merged |= np.frombuffer(bytes(part[0]), np.uint8)
-    bloom = d.sparkSession.sparkContext.broadcast(np.unpackbits(merged).astype(bool))
-    ours = d.select("doc_id", "text").mapInArrow(_window_rows(masks, bloom), "doc_id long, h long, p long")
-    pairs = ours.join(bench, "h").select("doc_id", "item_id").distinct()
-    both = pairs.join(d.select("doc_id", "text"), "doc_id").join(b.withColumnRenamed("text", "item_text"), "item_id")
+    bloom = d.sparkSession.sparkContext.broadcast(merged)  # BLOOM_BITS / 8 bytes at most
+    ours = d.mapInArrow(_window_rows(masks, bloom), f"doc_id {d.schema['doc_id'].dataType.simpleString()}, h long, p long")
+    found = ours.join(bench, "h").groupBy("doc_id", "item_id").agg(F.collect_set(F.col("p") - F.col("q")).alias("diagonals"))
+    return found, b
 
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            docs, items = batch.column("doc_id").to_numpy(), batch.column("item_id").to_numpy()
-            for k in range(len(docs)):
-                ix = Index(items[k : k + 1], batch.column("item_text").slice(k, 1), masks)
-                raw, o = buffers(batch.column("text").slice(k, 1))
-                rows = [(int(docs[k]), *r[1:]) for r in overlaps(ix, Tokens(raw[o[0] : o[1]], o - o[0]), min_tokens, min_ratio)]
-                if rows:
-                    yield _batch(rows, ix)
-
-    return both.mapInArrow(verify, OUT)
 
+def _shuffled(d: DataFrame, b: DataFrame, windows: int, masks: tuple[str, ...], min_tokens: int, min_ratio: float) -> DataFrame:
+    """The way beyond the broadcast: hashes joined by a shuffle, then every document with its items brought together."""
+    found, b = _hits(d, b, windows, masks)
+    wanted = found.join(b, "item_id").groupBy("doc_id").agg(F.collect_list(F.struct("item_id", "diagonals", "text")).alias("items"))
+    both = d.join(wanted.hint("shuffle_hash"), "doc_id").select("doc_id", "text", "items")
 
-def without_leaks(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs`` in which no benchmark item is found, decided row by row, without a shuffle.
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            docs, items = batch.column("doc_id"), batch.column("items")
+            for i, j, t in tokenised(batch.column("text")):
+                for k in range(j - i):
+                    mine = items[i + k].values
+                    ix = Index(mine.field("item_id").to_numpy(), mine.field("text"), masks, search=False)
+                    first, last = int(t.first[k]), int(t.first[k + 1])
+                    rows = set()
+                    for item, diagonals in enumerate(mine.field("diagonals").to_pylist()):
+                        for x in diagonals:  # of an id with several texts, one text's hits are not another's
+                            for got in verified(ix, t.hash, first, last, item, first + x, min_tokens, min_ratio, masks):
+                                rows.add((docs[i + k].as_py(), item, got[0] - first, got[1] - first, *got[2:]))
+                    if rows:
+                        yield _batch(sorted(rows), ix, docs.type)
+
+    return both.mapInArrow(verify, OUT.replace("doc_id long", f"doc_id {d.schema['doc_id'].dataType.simpleString()}"))
+
+
+def without_leaks(
+    docs: DataFrame,
+    benchmark: DataFrame,
+    *,
+    masks: tuple[str, ...] = MASKS,
+    min_tokens: int = MIN_TOKENS,
+    min_ratio: float = MIN_RATIO,
+    text_col: str = "text",
+    item_col: str = "item_id",
+    broadcast_windows: int = BROADCAST_WINDOWS,
+) -> DataFrame:
+    """The rows of ``docs`` in the text of which no benchmark item is found.
 
-    A row with a null id or text is kept. Beyond the broadcast size the leaking ids are removed by
-    an anti-join.
+    Every row is judged by its own text, whatever its id, which may be null or repeated: equal texts stay
+    or go together. A row with a null, empty or too short text is kept. Texts may be of any length; all
+    columns are kept, whatever their names. An empty benchmark drops nothing. Up to ``broadcast_windows``
+    nothing is shuffled; beyond, texts are named by their SHA-256 and leaking ones removed by an anti-join,
+    with the same rows.
     """
-    ship(docs.sparkSession)
-    masks = options.get("masks", MASKS)
-    min_tokens, min_ratio = options.get("min_tokens", MIN_TOKENS), options.get("min_ratio", MIN_RATIO)
-    text_col, id_col = options.get("text_col", "text"), options.get("id_col", "doc_id")
-    b = benchmark.where(F.col("item_id").isNotNull() & F.col("text").isNotNull()).select(F.col("item_id").cast("long").alias("item_id"), F.lower("text").alias("text")).distinct()
-    if windows_of(b, masks) > options.get("broadcast_windows", BROADCAST_WINDOWS):
-        bad = find_overlaps(docs, benchmark, **options).select(F.col("doc_id").alias(id_col)).distinct()
-        return docs.join(bad, id_col, "left_anti").select(*docs.columns)
-    shared = docs.sparkSession.sparkContext.broadcast(_index(b, masks))
+    spark = docs.sparkSession
+    ship(spark)
+    b = _items(benchmark, item_col, text_col)
+    windows = windows_of(b, masks)
+    if windows > broadcast_windows:
+        sha, own = F.sha2(F.coalesce(named(text_col), F.lit("")).cast("binary"), 256), fresh("sha", docs)
+        texts = docs.where(named(text_col).isNotNull()).select(sha.alias("doc_id"), F.lower(named(text_col)).alias("text"))
+        bad = _shuffled(texts, b, windows, masks, min_tokens, min_ratio).select(F.col("doc_id").alias(own)).distinct()
+        return docs.join(bad, sha == F.col(own), "left_anti")
+    shared = spark.sparkContext.broadcast(_index(b, masks))
 
     @F.arrow_udf("boolean")
     def leaks(texts: pa.Array) -> pa.Array:
@@ -329,4 +389,4 @@ def without_leaks(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame
                 found[i + row[0]] = True
         return pa.array(found)
 
-    return docs.where(~leaks(F.lower(F.coalesce(F.col(text_col), F.lit("")))))
+    return docs.where(~leaks(F.lower(F.coalesce(named(text_col), F.lit("")))))

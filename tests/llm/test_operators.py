@@ -214,46 +214,64 @@ def test_prefix_targets(spark):
 # 7
 
 
+def best_part(equal, least, ratio=0.8):
+    """Whether some stretch between equal tokens is long and equal enough, by trying all."""
+    at = [k for k, e in enumerate(equal) if e]
+    return any(t - s + 1 >= least and sum(equal[s : t + 1]) >= ratio * (t - s + 1) - 1e-9 for s in at for t in at if t >= s)
+
+
 def leaks_brute(docs, items):
     out = set()
     for (i, t), (k, b) in itertools.product(docs, items):
-        if i is None or not t or not b:
+        if i is None or k is None or not t or not b:
             continue
         x, y = tokens(t), tokens(b)
-        for d in range(-len(y) + 1, len(x)):
-            lo, hi = max(0, -d), min(len(y), len(x) - d)
-            equal = np.array([x[d + q] == y[q] for q in range(lo, hi)], bool)
-            if not equal.any() or len(equal) < min(13, len(y)):
-                continue
-            s, e = decontam.best_stretch(equal)
-            if e - s >= min(13, len(y)) and equal[s:e].sum() >= 0.8 * (e - s):
-                out.add((i, k))
+        if any(best_part([x[d + q] == y[q] for q in range(max(0, -d), min(len(y), len(x) - d))], min(13, len(y))) for d in range(-len(y) + 1, len(x))):
+            out.add((i, k))
     return out
 
 
-def test_leaks_against_brute_force_by_both_ways(spark):
-    rng = np.random.default_rng(9)
+def leaky(rng):
     words = [f"v{k}" for k in range(300)]
-    items = [(k, " ".join(rng.choice(words, int(rng.integers(14, 50))))) for k in range(8)] + [(8, "p q r s t"), (9, ""), (10, None)]
+    items = [(k, " ".join(rng.choice(words, int(rng.integers(14, 50))))) for k in range(8)] + [(8, "p q r s t"), (9, ""), (10, None), (None, "v1 v2 v3 v4 v5"), (3, "w1 w2 w3 w4 w5 w6")]
     docs = []
     for k in range(60):
         own = rng.choice(words, int(rng.integers(5, 60))).tolist()
         if k % 3 == 0:
             q = items[int(rng.integers(0, 8))][1].split()
-            q = [w if rng.random() > 0.08 else "zz" for w in q]
-            own[3:3] = q
+            own[3:3] = [w if rng.random() > 0.08 else "zz" for w in q]
         docs.append((k, " ".join(own)))
-    docs += [(100, "a p q r s t b"), (101, None), (102, ""), (None, items[0][1]), (103, items[1][1]), (103, items[1][1])]
+    far = f"a {items[1][1]} b"
+    docs += [(100, "a p q r s t b"), (101, None), (102, ""), (None, items[0][1]), (None, "clean"), (103, far), (103, far), (104, items[2][1]), (104, "a clean text"), (105, items[2][1] + " x " + items[2][1])]
+    docs += [(106, "e " * 70_000 + items[4][1] + " e" * 70_000)]
+    return docs, items
+
+
+def test_leaks_against_brute_force_by_both_ways(spark):
+    docs, items = leaky(np.random.default_rng(9))
     df = odd(spark, [(i, t, "s") for i, t in docs])
     bench = spark.createDataFrame(items, "item_id long, text string")
-    want = leaks_brute(docs, items)
-    got = {(r.doc_id, r.item_id) for r in decontam.find_overlaps(df, bench).collect()}
+    want = leaks_brute(docs[:-1], items) | {(106, 4)}
+    rows = [sorted(map(tuple, decontam.find_overlaps(df, bench, broadcast_windows=n).collect())) for n in (10**9, 0)]
+    assert rows[0] == rows[1]
+    got = {r[:2] for r in rows[0]}
     assert got <= want and len(got) >= 0.95 * len(want) >= 15
-    assert {(r.doc_id, r.item_id) for r in decontam.find_overlaps(df, bench, broadcast_windows=0).collect()} == got
-    kept = decontam.without_leaks(df, bench)
-    bad = {i for i, _ in got}
-    assert sorted(r.doc_id for r in kept.collect() if r.doc_id is not None) == sorted(i for i, _ in docs if i is not None and i not in bad)
-    assert decontam.find_overlaps(df, bench.limit(0)).collect() == [] and decontam.without_leaks(df.limit(0), bench).collect() == []
+    assert decontam.find_overlaps(df, bench.limit(0)).collect() == []
+
+
+@pytest.mark.parametrize("text,item", [("text", "item_id"), ("body", "number")])
+def test_rows_without_leaks_are_the_same_by_both_ways(spark, text, item):
+    docs, items = leaky(np.random.default_rng(10))
+    bad = leaks_brute([(k, t) for k, (_, t) in enumerate(docs[:-1])], items)
+    bench = spark.createDataFrame(items, f"{item} long, {text} string")
+    df = odd(spark, [(i, t, "s") for i, t in docs]).drop("body").withColumnRenamed("text", text)
+    kept = [sorted((str(r.doc_id), str(r[text])) for r in decontam.without_leaks(df, bench, text_col=text, item_col=item, broadcast_windows=n).collect()) for n in (10**9, 0)]
+    assert kept[0] == kept[1]
+    want = sorted((str(i), str(t)) for k, (i, t) in enumerate(docs[:-1]) if k not in {x for x, _ in bad})
+    assert len(want) <= len(kept[0]) <= len(want) + 1 and not set(want) - set(kept[0])
+    for x in (df.limit(0), df):
+        assert decontam.without_leaks(x, bench.limit(0), text_col=text, item_col=item, broadcast_windows=-1).count() == x.count()
+        assert decontam.without_leaks(x, bench.limit(0), text_col=text, item_col=item).columns == df.columns
 
 
 # 8
