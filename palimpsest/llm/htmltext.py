@@ -3,10 +3,10 @@
 The page is parsed to a tree. For a node with C characters of text under it, T tags, of which C_l
 and T_l in links, and with the page body's C_b and C_lb, the composite density is
 
-    C / T * log(C * T / (C_l * T_l)) / log(ln(C * C_l / (C - C_l) + C_lb * C / C_b + e))
+    C / T * ln(C * T / (C_l * T_l)) / ln(ln(C * C_l / (C - C_l) + C_lb * C / C_b + e))
 
-(counts of zero taken as one), which is high for long text in few tags and falls with the share of
-links. The density sum of a node is that of its children. The content is looked for from the node of the
+with every count, and C - C_l, at least one, and the first logarithm at least zero. It is high for long text
+in few tags and falls with the share of links. The density sum of a node is that of its children. The content is looked for from the node of the
 largest density sum: the least density on its path up to the body, the body left out (it has every
 navigation bar's links, and short plain notices would pass it), is the threshold, and within each child
 of the body at or above it the subtree with the largest sum is taken.
@@ -21,13 +21,16 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
+from palimpsest.llm.names import named
 from palimpsest.storage import ship
 
 OUT = "page_id long, title string, text string, n_chars int, n_nodes int, threshold double, max_sum double"
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|$)|<![^>]*(?:>|$)|<\?[^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|$)|'[^']*(?:'|$))*)(?:>|$)", re.S)
+#: A quote delimits an attribute's value only right after the equals sign.
+_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<![^>]*+(?:>|\Z)|<\?[^>]*+(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:=\s*+(?:"[^"]*+(?:"|\Z)|'[^']*+(?:'|\Z))|[^>])*+)(?:>|\Z)""", re.S)
+#: Elements nested deeper than this become siblings, as in browsers; their text is kept.
+MAX_DEPTH = 512
 _RAW = {t: re.compile(rf"</{t}\s*>", re.I) for t in ("script", "style", "textarea", "title", "xmp", "iframe", "noembed", "noframes")}
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _SKIP = frozenset("script style noscript template svg head iframe object select button".split())
@@ -41,10 +44,11 @@ _SPACE = re.compile(r"\s+")
 
 
 class Node:
-    __slots__ = ("tag", "parent", "kids", "skip", "c", "t", "lc", "lt", "density", "sum")
+    __slots__ = ("tag", "parent", "kids", "skip", "depth", "c", "t", "lc", "lt", "density", "sum")
 
     def __init__(self, tag: str, parent: Node | None):
         self.tag, self.parent, self.kids = tag, parent, []
+        self.depth = 0 if parent is None else parent.depth + 1
         self.skip = tag in _SKIP or (parent is not None and parent.skip)
         self.c = self.t = self.lc = self.lt = 0
         self.density = self.sum = 0.0
@@ -74,7 +78,7 @@ def parse(source: str) -> tuple[Node, str]:
         tag = tag.lower()
         if m.group(1):
             n = here
-            while n is not root and n.tag != tag:
+            while n is not root and n.tag != tag:  # MAX_DEPTH steps at most
                 n = n.parent
             if n is not root:
                 here = n.parent
@@ -103,6 +107,8 @@ def parse(source: str) -> tuple[Node, str]:
             if body is not None:
                 here = body
                 continue
+        if here.depth >= MAX_DEPTH:
+            here = here.parent
         node = Node(tag, here)
         here.kids.append(node)
         if tag in _RAW:
@@ -145,16 +151,20 @@ def measured(root: Node) -> list[Node]:
         if n.tag == "a":
             n.lc, n.lt = n.c, n.t + 1
     body = body_of(root)
-    c_b, lc_b = max(1, body.c), body.lc
+    c_b, lc_b = max(1, body.c), max(1, body.lc)
     for n in nodes:
         if n.c and not n.skip:
-            c, t, lc, lt = n.c, max(1, n.t), max(1, n.lc), max(1, n.lt)
-            base = math.log(c / max(1, c - n.lc) * n.lc + lc_b / c_b * c + math.e)  # at least 1
-            n.density = c / t * (math.log(max(1.0, c * t / (lc * lt))) / math.log(base) if base > 1 + 1e-6 else math.log(max(1.0, c * t / (lc * lt))))
+            n.density = density(n.c, n.t, n.lc, n.lt, c_b, lc_b)
         n.sum = sum(k.density for k in n.kids if isinstance(k, Node))
     return nodes
 
 
+def density(c: int, t: int, lc: int, lt: int, c_b: int, lc_b: int) -> float:
+    """Composite text density of counts; the base of the logarithm is at least ln(1 + e)."""
+    rest, t, lc, lt = max(1, c - lc), max(1, t), max(1, lc), max(1, lt)
+    return c / t * math.log(max(1.0, c * t / (lc * lt))) / math.log(math.log(c * lc / rest + lc_b * c / c_b + math.e))
+
+
 def body_of(root: Node) -> Node:
     return next((k for k in root.kids if isinstance(k, Node) and k.tag == "body"), root)
 
@@ -216,9 +226,11 @@ def extract(source: str) -> tuple[str, str, int, float, float]:
 def extracted(pages: DataFrame, *, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
     """One row a page (schema ``OUT``), from whatever markup it has.
 
-    A null or empty page has an empty title and text. Unclosed and misplaced tags are closed where the
-    enclosing element ends. A null id stays null; repeated rows give repeated rows. Of nodes with equal
-    sums the first in the page counts. Other columns are ignored.
+    A null or empty page has an empty title and text. Pages may be of any length: the work grows in
+    proportion to it. Unclosed and misplaced tags are closed where the enclosing element ends, and elements
+    deeper than ``MAX_DEPTH`` become siblings. A null id stays null (ids are whole numbers); repeated rows
+    give repeated rows. Of nodes with equal sums the first in the page counts. Other columns are ignored; an
+    empty table gives no rows.
     """
     ship(pages.sparkSession)
 
@@ -231,4 +243,4 @@ def extracted(pages: DataFrame, *, id_col: str = "page_id", html_col: str = "htm
                 cols = [some.column(0), pa.array(title, pa.string()), pa.array(text, pa.string()), pa.array([len(t) for t in text], pa.int32()), pa.array(n, pa.int32()), pa.array([round(x, 6) for x in threshold], pa.float64()), pa.array([round(x, 6) for x in top], pa.float64())]
                 yield pa.RecordBatch.from_arrays(cols, [x.split()[0] for x in OUT.split(", ")])
 
-    return pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(html_col).alias("html")).mapInArrow(run, OUT)
+    return pages.select(named(id_col).cast("long").alias("page_id"), named(html_col).alias("html")).mapInArrow(run, OUT)
