@@ -5,17 +5,34 @@ is trainable. A turn is written ``<|role|>`` newline text ``<|end|>`` newline; `
 the opening of the reply, and ``[train_from, train_to)`` are the character positions, in
 ``prompt || completion``, that a loss may be taken of: the reply and its end mark.
 
+No text can forge a mark: a backslash is written after each ``<`` that a bar follows, with any number of
+backslashes between the two, and can be taken out again without loss. Of a role, characters other than letters, digits,
+``_``, ``.`` and ``-`` are written as ``_``.
+
 One shuffle, by conversation; the examples are cut from the ordered turns within the row.
 """
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from palimpsest.llm.names import named
+
 END = "<|end|>"
 
 
+def escaped(text: Column) -> Column:
+    return F.regexp_replace(text, r"<(\\*)\|", r"<\\$1|")
+
+
+def unescaped(text: str) -> str:
+    """The text that was written."""
+    return re.sub(r"<\\(\\*)\|", r"<\1|", text)
+
+
 def _turn(role: Column, text: Column) -> Column:
     return F.concat(F.lit("<|"), role, F.lit("|>\n"), text, F.lit(f"{END}\n"))
 
@@ -34,14 +51,15 @@ def expand(
     Rows without a conversation id are left out. A null role is ``unknown`` and never a target; a
     null text is empty; an empty reply is still an example, of which the end mark is trained. Turns
     are ordered by number, a null number first, and equal numbers by role and text, so repeated rows
-    are turns of their own in a defined order. Other columns are ignored.
+    are turns of their own in a defined order. Texts may be of any length; an empty table gives no rows. Other
+    columns are ignored, whatever their names.
     """
-    parts = turns.where(F.col(conv_col).isNotNull()).select(
-        F.col(conv_col).alias("conv_id"),
+    parts = turns.where(named(conv_col).isNotNull()).select(
+        named(conv_col).alias("conv_id"),
         F.struct(
-            F.col(turn_col).cast("bigint").alias("turn"),
-            F.coalesce(F.col(role_col), F.lit("unknown")).alias("role"),
-            F.coalesce(F.col(text_col), F.lit("")).alias("text"),
+            named(turn_col).cast("bigint").alias("turn"),
+            F.regexp_replace(F.coalesce(named(role_col), F.lit("unknown")), "[^A-Za-z0-9_.-]", "_").alias("role"),
+            escaped(F.coalesce(named(text_col), F.lit(""))).alias("text"),
         ).alias("t"),
     )
     convs = parts.groupBy("conv_id").agg(F.sort_array(F.collect_list("t")).alias("ts"))
@@ -56,7 +74,8 @@ def expand(
 #: DuckDB SQL of op6_prefix_target.
 SQL = f"""
 WITH t AS (
-  SELECT conv_id, turn, coalesce(role, 'unknown') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL
+  SELECT conv_id, turn, regexp_replace(coalesce(role, 'unknown'), '[^A-Za-z0-9_.-]', '_', 'g') AS role,
+    regexp_replace(coalesce(text, ''), '<(\\\\*)\\|', '<\\\\\\1|', 'g') AS text FROM conversations WHERE conv_id IS NOT NULL
 ), w AS (
   SELECT conv_id, turn, role, text,
     row_number() OVER c - 1 AS n_context,
