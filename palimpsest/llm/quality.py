@@ -239,17 +239,19 @@ def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def train(docs: DataFrame, labels: DataFrame, *, max_rows: int = MAX_ROWS, id_col: str = "doc_id", text_col: str = "text") -> Classifier:
     """Fits on at most ``max_rows`` labelled documents.
 
-    Labels without an id or without a quality are left out; of repeated labels the worst counts; of
-    repeated documents one text. Without labelled documents quality is 1 and toxicity 0 for all.
+    Labels without an id or without a quality are left out, as are documents with a null or empty text; a null
+    toxicity is 0. Of repeated labels the worst counts; of repeated documents the smallest text. Texts may be
+    of any length; ids are whole numbers. Ties of the sample are decided by the id. Other columns are ignored,
+    whatever their names. Without labelled documents quality is 1 and toxicity 0 for all.
     """
     ship(docs.sparkSession)
     picked = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull())
     picked = picked.groupBy(F.col("doc_id").cast("long").alias("__id")).agg(F.min("quality").alias("__q"), F.max(F.coalesce("toxic", F.lit(0))).alias("__t"))
     picked = picked.orderBy(F.xxhash64("__id"), "__id").limit(max_rows)  # 24 bytes a row, so bounded
-    rows = docs.select(F.col(id_col).cast("long").alias("__id"), F.lower(F.col(text_col)).alias("__l"), F.col(text_col).alias("text")).where("text is not null and text <> ''")
-    rows = rows.join(F.broadcast(picked), "__id").groupBy("__id").agg(F.min(F.struct("text", "__l", "__q", "__t")).alias("r"))
+    rows = docs.select(named(id_col).cast("long").alias("__id"), named(text_col).alias("text")).where("text is not null and text <> ''")
+    rows = rows.join(F.broadcast(picked), "__id").groupBy("__id").agg(F.min(F.struct("text", "__q", "__t")).alias("r"))
     half = F.pmod(F.xxhash64("__id", F.lit(1)), F.lit(2)).cast("int")
-    sample = written(rows.select("__id", half.alias("half"), "r.text", F.col("r.__l").alias("low"), (F.col("r.__q") != 1).cast("int").alias("bad"), (F.col("r.__t") == 1).cast("int").alias("toxic")), "sample")
+    sample = written(rows.select("__id", half.alias("half"), "r.text", (F.col("r.__q") != 1).cast("int").alias("bad"), (F.col("r.__t") == 1).cast("int").alias("toxic")), "sample")
     n = sample.where("half = 0").agg(F.count(F.lit(1)), F.sum("bad"), F.sum("toxic")).first()
     lists = {}
     counts = sample.where("half = 0").select("text", "bad", "toxic").mapInArrow(_word_counts, "h long, n long, bad long, toxic long").groupBy("h").agg(*(F.sum(c).alias(c) for c in ("n", "bad", "toxic")))
@@ -280,7 +282,8 @@ def score(docs: DataFrame, model: Classifier, *, text_col: str = "text", min_qua
     """``docs`` with ``quality_score``, ``toxic_score`` and ``keep``; columns of these names are replaced.
 
     A null or empty text has quality 0 and toxicity 0, and isn't kept. Rows are judged one by one, so
-    repeated rows get equal scores and a row's other columns, nulls among them, don't matter.
+    repeated rows get equal scores and a row's other columns, nulls among them, don't matter. Texts may be
+    of any length; an empty table gives an empty result.
     """
     ship(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # tables and word lists of fixed size: under 50 kB

@@ -29,6 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from palimpsest.llm.names import named
 from palimpsest.llm.tokens import U64, Tokens, mix, powers, tokenised
 from palimpsest.storage import ship, written
 
@@ -323,12 +324,13 @@ def repeated(docs: DataFrame, *, depth: int = DEPTH, id_col: str = "doc_id", tex
     Rows with a null id are left out; null and empty texts, and those of fewer than ``depth`` tokens,
     have no spans. A passage that only one id has is no repeat, however often it has it, so repeated
     rows change nothing; of an id with several texts each is searched, and their spans are put
-    together. Other columns are ignored; an empty table gives an empty result.
+    together. Texts may be of any length; ids are whole numbers. Other columns are ignored, whatever their
+    names; an empty table gives an empty result. Shards are slices of the contexts that one task merges.
     """
     if not GRAM < depth < GRAM + 64:
         raise ValueError(f"depth must be from {GRAM + 1} to {GRAM + 63}")
     ship(docs.sparkSession)
-    d = docs.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.lower(F.col(text_col)).alias("text"))
+    d = docs.where(named(id_col).isNotNull() & named(text_col).isNotNull()).select(named(id_col).cast("long").alias("doc_id"), F.lower(named(text_col)).alias("text"))
     anchors = d.mapInArrow(lambda b: _anchors(b, depth), "h long, ctx long, doc_id long, start int, n short")
     anchors = anchors.repartition("h").sortWithinPartitions("h", "ctx", "doc_id", "start")
     known = written(anchors.mapInArrow(lambda b: _by_anchor(b, _sift), "h long, ctx long, doc_id long, start int, n short, lo long, hi long, alone boolean, lead boolean"), "anchors")

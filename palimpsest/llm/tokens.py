@@ -1,8 +1,9 @@
 """Vectorised tokenising of Arrow string batches with NumPy.
 
 A token is a maximal run of ASCII letters and digits or of characters beyond ASCII; Latin-1
-signs (U+0080-U+00BF but for the letters ª º µ), the general punctuation block (U+2000-U+206F)
-and CJK punctuation (U+3000-U+303F) separate tokens. Text is lower-cased first: ASCII and the
+signs (U+0080-U+00BF but for the letters ª º µ), the general punctuation block (U+2000-U+206F),
+CJK punctuation (U+3000-U+303F) and full-width punctuation separate tokens. Each character of the scripts
+that are written without spaces (kana and ideographs, U+3040-U+9FFF and beyond U+20000) is a token. Text is lower-cased first: ASCII and the
 two-byte Latin letters here, anything else by the caller (``F.lower``) where it matters.
 
 Every token gets a 64-bit hash that depends only on its bytes: with prefix sums of
@@ -76,11 +77,26 @@ def fold(raw: np.ndarray) -> np.ndarray:
         b[sign + 1] = 0
         wide = hi[((lead == 0xE2) & ((after == 0x80) | (after == 0x81))) | ((lead == 0xE3) & (after == 0x80))]
         wide = wide[wide + 2 < len(raw)]
-        for k in range(3):
-            b[wide + k] = 0
+        wide = wide[:, None] + np.arange(3)
+        full = hi[(lead == 0xEF) & (after >= 0xBC) & (after <= 0xBD)]
+        full = full[full + 2 < len(raw)]
+        if len(full):  # U+FF01-FF0F, FF1A-FF20, FF3B-FF40, FF5B-FF65
+            c = (raw[full + 1].astype(np.int64) & 1) << 6 | raw[full + 2] & 0x3F
+            full = full[(c <= 0x0F) | ((c >= 0x1A) & (c <= 0x20)) | ((c >= 0x3B) & (c <= 0x40)) | ((c >= 0x5B) & (c <= 0x65))]
+            wide = np.concatenate([wide, full[:, None] + np.arange(3)])
+        b[wide.ravel()] = 0
     return b
 
 
+def unspaced(raw: np.ndarray) -> np.ndarray:
+    """Where characters of scripts without spaces begin and end."""
+    (hi,) = np.nonzero((raw >= 0xE3) & (raw <= 0xE9))
+    wide = hi[(raw[hi] != 0xE3) | (raw[np.minimum(hi + 1, len(raw) - 1)] >= 0x81)]
+    (hi,) = np.nonzero(raw == 0xF0)
+    far = hi[raw[np.minimum(hi + 1, len(raw) - 1)] >= 0xA0]
+    return np.concatenate([wide, wide + 3, far, far + 4])
+
+
 class Tokens:
     """Tokens of a group of texts: ``hash`` and byte ``start``/``end`` by token, and ``first``,
     of length texts + 1, the index of each text's first token. Byte positions are relative to the
@@ -97,7 +113,7 @@ class Tokens:
         word[0] = word[-1] = False
         np.not_equal(b, 0, out=word[1:-1])
         edge = word[1:] != word[:-1]
-        inner = ends[1:-1]
+        inner = np.concatenate([ends[1:-1], unspaced(raw)])
         inner = inner[(inner > 0) & (inner < n)]
         cut = inner[word[inner] & word[inner + 1]] if n else inner  # a token may not cross texts
         (at,) = np.nonzero(edge)
