@@ -21,7 +21,28 @@ def ascii_lower(text: Column | str) -> Column:
 
 def tokens(text: Column | str) -> Column:
     """The tokens of a text in order, duplicates included; none of a null."""
-    return F.filter(F.split(ascii_lower(F.coalesce(col(text), F.lit(""))), SEPARATORS), lambda t: t != "")
+    return F.array_remove(F.split(ascii_lower(F.coalesce(col(text), F.lit(""))), SEPARATORS), "")
+
+
+_FOLD = str.maketrans(string.ascii_uppercase, string.ascii_lowercase)
+_ASCII = bytes(ord(chr(b).lower()) if b < 128 and chr(b).isalnum() else 32 for b in range(256))
+
+
+def splitter():
+    """The same tokens in Python, as a function of a text: the faster, the fewer scripts a text uses."""
+    import re
+
+    import regex
+
+    latin, any_script = re.compile(r"[^\W_]+").findall, regex.compile(r"[\p{Alphabetic}\p{N}]+").findall
+
+    def split(text: str) -> list[str]:
+        if text.isascii():
+            return text.encode().translate(_ASCII).decode().split()
+        folded = text.translate(_FOLD)
+        return latin(folded) if max(folded) < "\u0300" else any_script(folded)  # no combining marks below
+
+    return split
 
 
 def digest(tag: str, content: Column | str) -> Column:
@@ -29,12 +50,18 @@ def digest(tag: str, content: Column | str) -> Column:
     return F.sha2(F.concat(F.lit(f"{tag}:").cast("binary"), col(content).cast("binary")), 256)
 
 
+#: Unicode white space, which a preview is trimmed of.
+_BLANK = r"[\t-\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
+
+
 def preview(text: Column | str, limit: int = 96) -> Column:
-    """One line of at most ``limit`` bytes, cut between characters, with dots where something was cut."""
-    line = F.regexp_replace(F.trim(col(text)), "\n", " ")
+    """One trimmed line of at most ``limit`` bytes, cut between characters, with dots where something was cut."""
+    line = F.regexp_replace(F.regexp_replace(col(text), f"^{_BLANK}|{_BLANK}$", ""), "\n", " ")
     raw = F.encode(line, "UTF-8")
-    cut = F.regexp_replace(F.make_valid_utf8(F.substring(raw, 1, limit).cast("string")), "�+$", "")
-    return F.when(F.octet_length(line) <= limit, line).otherwise(F.concat(cut, F.lit("...")))
+    # the byte after the cut is a continuation byte as long as the cut is within a character
+    ends = [F.when(~F.rlike(F.hex(F.substring(raw, limit + 1 - k, 1)), F.lit("^[89AB]")), limit - k) for k in range(4)]
+    cut = F.coalesce(*ends, F.lit(limit - 3))
+    return F.when(F.octet_length(line) <= limit, line).otherwise(F.concat(F.decode(F.substring(raw, F.lit(1), cut), "UTF-8"), F.lit("...")))
 
 
 def key_level(key: Column | str, bits: int = 5, most: int = 16) -> Column:
@@ -47,8 +74,17 @@ def key_level(key: Column | str, bits: int = 5, most: int = 16) -> Column:
 
 
 def prefix_end(prefix: str) -> str | None:
-    """The smallest string above all that begin with the prefix, or None where there is no bound."""
+    """The smallest string, in order of UTF-8 bytes, above all that begin with the prefix, or None where there is no bound."""
     p = prefix
     while p and ord(p[-1]) == 0x10FFFF:
         p = p[:-1]
-    return p[:-1] + chr(ord(p[-1]) + 1) if p else None
+    if not p:
+        return None
+    after = ord(p[-1]) + 1
+    return p[:-1] + chr(0xE000 if after == 0xD800 else after)  # surrogates are no characters
+
+
+def prefix_upper(prefix: bytes) -> bytes | None:
+    """The smallest bytes above all that begin with the prefix, or None where there is no bound."""
+    p = prefix.rstrip(b"\xff")
+    return p[:-1] + bytes([p[-1] + 1]) if p else None

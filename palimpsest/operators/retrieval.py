@@ -6,14 +6,18 @@ is shared by all of them. Rank ties are broken by id.
 
 from __future__ import annotations
 
+import math
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from palimpsest.functions.text import digest, tokens
+from palimpsest.functions.text import digest, splitter, tokens
+from palimpsest.storage import ship, spread, written
 
 K1, B, RRF = 1.5, 0.75, 60
 
@@ -32,7 +36,10 @@ def visible(
 
     An attribute that is asked for and null doesn't match. Equality predicates reach the scan.
     """
-    ok: Column = (F.size("acl") == 0) | F.arrays_overlap("acl", F.array(*map(F.lit, tags))) if tags else F.size("acl") == 0
+    acl = F.coalesce(F.col("acl"), F.array().cast("array<string>"))  # no list is as an empty one: public
+    ok: Column = F.size(acl) == 0
+    if tags:
+        ok |= F.coalesce(F.arrays_overlap(acl, F.array(*map(F.lit, tags))), F.lit(False))
     for name, value in (("tenant", tenant), ("doc_type", doc_type), ("language", language)):
         if value is not None:
             ok &= F.col(name) == value
@@ -50,39 +57,138 @@ def chunks(docs: DataFrame, size: int = 2048, overlap: int = 256) -> DataFrame:
     if not 0 <= overlap < size:
         raise ValueError("overlap must be at least 0 and below size")
     step = size - overlap
-    raw = docs.select("doc_id", F.encode("text", "UTF-8").alias("raw")).where("raw is not null and length(raw) > 0").withColumn("n", F.length("raw"))
+    raw = spread(docs.select("doc_id", "text")).select("doc_id", F.encode("text", "UTF-8").alias("raw")).where("raw is not null and length(raw) > 0").withColumn("n", F.length("raw"))
     last = F.greatest(F.lit(0), F.ceil((F.col("n") - size) / step)).cast("int")
     out = raw.select("doc_id", "raw", "n", F.explode(F.sequence(F.lit(0), last)).alias("ordinal"))
     start, end = F.col("ordinal") * step, F.least(F.col("ordinal") * step + size, F.col("n"))
     return out.select("doc_id", "ordinal", start.alias("start"), end.alias("end"), digest("blob", F.expr(f"substring(raw, ordinal * {step} + 1, {size})")).alias("chunk_hash"))
 
 
+def terms_of(docs: DataFrame, *keep: str) -> DataFrame:
+    """A row a token. An outer explode, since a plain one makes the optimizer split each text once more to see that it has tokens."""
+    return spread(docs.select(*keep, "text")).select(*keep, F.explode_outer(tokens("text")).alias("term")).where("term is not null")
+
+
 def postings(docs: DataFrame) -> DataFrame:
     """(doc_id, term, tf). Counting is combined within a partition before anything is shuffled."""
-    return docs.select("doc_id", F.explode(tokens("text")).alias("term")).groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("tf"))
+    return terms_of(docs, "doc_id").groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
 def lengths(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.size(tokens("text")).alias("dl"))
 
 
-def bm25(docs: DataFrame, queries: DataFrame) -> DataFrame:
-    """(query_id, doc_id, score) of every document that has a term of the query.
+#: Entries of the table of query terms by queries that is sent to every worker (8 bytes each).
+WEIGHTS = 8_000_000
+
+
+def _query_terms(queries: DataFrame) -> DataFrame:
+    return terms_of(queries, "query_id").groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("qtf"))
+
+
+def occurrences(docs: DataFrame, terms: list[str]) -> DataFrame:
+    """(doc_id, dl, term, tf): a row a document, with the numbers of the terms that it has and how often; every text is split once."""
+    ship(docs.sparkSession)
+    shared = docs.sparkSession.sparkContext.broadcast({t: k for k, t in enumerate(terms)})
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number, split = shared.value, splitter()
+        for b in batches:
+            sizes, ends, which, times = [], [0], [], []
+            for text in b.column(1).to_pylist():
+                found = split(text) if text else []
+                seen = Counter(found)
+                hits = [(number[t], n) for t, n in seen.items() if t in number] if len(seen) < len(number) else [(k, seen[t]) for t, k in number.items() if t in seen]
+                which += [k for k, _ in hits]
+                times += [n for _, n in hits]
+                ends.append(len(which))
+                sizes.append(len(found))
+            lists = [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(x, pa.int32())) for x in (which, times)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes, pa.int32()), *lists], ["doc_id", "dl", "term", "tf"])
+
+    return spread(docs.select(F.col("doc_id").cast("long"), "text")).mapInArrow(count, "doc_id long, dl int, term array<int>, tf array<int>")
+
+
+def bm25(docs: DataFrame, queries: DataFrame, k: int | None = None) -> DataFrame:
+    """(query_id, doc_id, score) of every document that has a term of the query; with ``k``, of the k best of each partition at least.
 
     Statistics are those of ``docs``, so what a filter hides has no influence on a score. Terms of a
     query count once in the document frequency and as often as they occur in the sum.
+
+    Where the weights of all query terms fit a table of ``WEIGHTS`` entries, texts are split once, the terms
+    asked for are counted by document and written, and documents are scored where they are, a batch at a
+    time as a matrix product; with ``k`` only the best of each partition are shuffled. Beyond, the terms
+    are joined by a shuffle, to the same scores.
     """
-    terms = queries.select("query_id", F.explode(tokens("text")).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("qtf"))
+    asked = _query_terms(queries)
+    n_terms, n_queries = asked.agg(F.countDistinct("term"), F.countDistinct("query_id")).first()
+    if n_terms * n_queries > WEIGHTS:
+        return joined_bm25(docs, asked)
+    rows = asked.collect()  # WEIGHTS at most
+    terms, ids = sorted({r.term for r in rows}), np.array(sorted({r.query_id for r in rows}), np.int64)
+    found = written(occurrences(docs, terms), "occurrences")
+    n, avgdl = found.agg(F.count(F.lit(1)), F.greatest(F.avg("dl"), F.lit(1.0))).first()
+    df = np.zeros(len(terms))
+    for r in found.select(F.explode_outer("term").alias("t")).where("t is not null").groupBy("t").count().collect():  # a row a query term at most
+        df[r[0]] = r[1]
+    weights = np.zeros((len(terms), len(ids)))
+    number, at = {t: i for i, t in enumerate(terms)}, {int(q): i for i, q in enumerate(ids)}
+    for r in rows:
+        d = df[number[r.term]]
+        if d:
+            weights[number[r.term], at[r.query_id]] = r.qtf * math.log((n - d + 0.5) / (d + 0.5) + 1)
+    shared = docs.sparkSession.sparkContext.broadcast(weights)
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        w, kept = shared.value, (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))
+        for b in batches:
+            for lo in range(0, len(b), 1024):
+                part = b.slice(lo, 1024)
+                doc, dl, t = part.column(0).to_numpy(), part.column(1).to_numpy(), part.column(2)
+                row = np.repeat(np.arange(len(part)), pc.list_value_length(t).to_numpy())
+                tf = part.column(3).flatten().to_numpy().astype(float)
+                there, col = np.unique(t.flatten().to_numpy(), return_inverse=True)
+                a = np.zeros((len(part), len(there)))
+                a[row, col] = tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl[row] / avgdl))
+                own = w[there]
+                s = np.round(a @ own, 6)
+                has = (a > 0).astype(np.float32) @ (own != 0).astype(np.float32) > 0
+                i, q = np.nonzero(has)
+                got = (q, doc[i], s[i, q])
+                if k is None:
+                    yield _scores(ids, got)
+                else:
+                    kept = best_of(k, *(np.concatenate(x) for x in zip(kept, got)))
+        if k is not None:
+            yield _scores(ids, kept)
+
+    return found.mapInArrow(score, "query_id long, doc_id long, score double")
+
+
+def _scores(ids: np.ndarray, got: tuple[np.ndarray, np.ndarray, np.ndarray]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(ids[got[0]]), pa.array(got[1]), pa.array(got[2])], ["query_id", "doc_id", "score"])
+
+
+def best_of(k: int, query: np.ndarray, doc: np.ndarray, score: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The k best rows of each query, equal scores in order of the document."""
+    order = np.lexsort((doc, -score, query))
+    query, doc, score = query[order], doc[order], score[order]
+    first = np.searchsorted(query, query)
+    keep = np.arange(len(query)) - first < k
+    return query[keep], doc[keep], score[keep]
+
+
+def joined_bm25(docs: DataFrame, asked: DataFrame) -> DataFrame:
+    """The scores of ``bm25`` by joins, for any number of query terms (query_id, term, qtf)."""
     sized = docs.select("doc_id", tokens("text").alias("ts")).withColumn("dl", F.size("ts"))
     corpus = sized.agg(F.count(F.lit(1)).alias("n"), F.greatest(F.avg("dl"), F.lit(1.0)).alias("avgdl"))  # one row
-    wanted = terms.select("term").distinct()
-    found = sized.select("doc_id", "dl", F.explode("ts").alias("term")).join(wanted, "term", "left_semi")
+    found = sized.select("doc_id", "dl", F.explode_outer("ts").alias("term")).where("term is not null").join(asked.select("term").distinct(), "term", "left_semi")
     found = found.groupBy("term", "doc_id", "dl").agg(F.count(F.lit(1)).alias("tf"))
     df = found.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     idf = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
-    weights = terms.join(df, "term").crossJoin(F.broadcast(corpus)).select("query_id", "term", "avgdl", (F.col("qtf") * idf).alias("w"))
+    weights = asked.join(df, "term").crossJoin(F.broadcast(corpus)).select("query_id", "term", "avgdl", (F.col("qtf") * idf).alias("w"))
     part = F.col("w") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    return found.join(weights, "term").groupBy("query_id", "doc_id").agg(F.round(F.sum(part), 6).alias("score"))
+    return found.join(weights.hint("shuffle_hash"), "term").groupBy("query_id", "doc_id").agg(F.round(F.sum(part), 6).alias("score"))
 
 
 def ranked(scores: DataFrame, k: int) -> DataFrame:
@@ -97,26 +203,31 @@ def vector_scores(vectors: DataFrame, queries: dict[int, list[float]], k: int) -
     Batches are multiplied as matrices; each partition keeps its best k a query, so k rows a query and
     partition are all that is shuffled. Vectors of another length or of norm 0 are left out.
     """
+    ship(vectors.sparkSession)
     ids = np.array(sorted(queries), np.int64)
     dim = max((len(v) for v in queries.values()), default=0)
     q = np.array([queries[i] for i in ids.tolist()], np.float64).reshape(len(ids), dim)
     q = q / np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-300)
 
     def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held_id, held = np.empty((len(ids), 0), np.int64), np.empty((len(ids), 0))
+        kept = (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))
         for b in batches:
             doc = b.column(0).to_numpy()
             x = b.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(doc), dim)
             norm = np.linalg.norm(x, axis=1)
             doc, x = doc[norm > 0], x[norm > 0] / norm[norm > 0, None]
-            s = np.round(np.concatenate([held, q @ x.T], axis=1), 6)
-            d = np.concatenate([held_id, np.broadcast_to(doc, (len(ids), len(doc)))], axis=1)
-            at = np.stack([np.lexsort((d[r], -s[r]))[:k] for r in range(len(ids))]) if len(ids) else np.empty((0, 0), int)
-            held, held_id = np.take_along_axis(s, at, 1), np.take_along_axis(d, at, 1)
-        n = held.shape[1]
-        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, n)), pa.array(held_id.ravel()), pa.array(held.ravel())], ["query_id", "doc_id", "score"])
-
-    fit = vectors.select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>")).where((F.size("embedding") == dim) & ~F.exists("embedding", lambda v: v.isNull()))
+            if not len(doc):
+                continue
+            s = np.round(q @ x.T, 6)
+            if len(doc) > k:  # those at least as good as the k-th
+                least = np.partition(s, len(doc) - k, axis=1)[:, len(doc) - k]
+                i, j = np.nonzero(s >= least[:, None])
+            else:
+                i, j = (z.ravel() for z in np.indices(s.shape))
+            kept = best_of(k, *(np.concatenate(z) for z in zip(kept, (i, doc[j], s[i, j]))))
+        yield _scores(ids, kept)
+
+    fit = vectors.select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>")).where(F.col("vec_id").isNotNull() & (F.size("embedding") == dim) & ~F.exists("embedding", lambda v: v.isNull()))
     return fit.mapInArrow(best, "query_id long, doc_id long, score double")
 
 
@@ -137,7 +248,7 @@ def fused(lists: list[DataFrame], k: int) -> DataFrame:
 def hybrid(docs: DataFrame, vectors: DataFrame, texts: DataFrame, embeddings: dict[int, list[float]], k: int = 10) -> DataFrame:
     """Both modalities fetch 4k, of documents in ``docs`` only."""
     allowed = vectors.join(docs.select(F.col("doc_id").alias("vec_id")), "vec_id", "left_semi")
-    return fused([ranked(bm25(docs, texts), 4 * k), vector_topk(allowed, embeddings, 4 * k)], k)
+    return fused([ranked(bm25(docs, texts, 4 * k), 4 * k), vector_topk(allowed, embeddings, 4 * k)], k)
 
 
 def latest(rows: DataFrame, key: str, order: str) -> DataFrame:
@@ -148,7 +259,7 @@ def latest(rows: DataFrame, key: str, order: str) -> DataFrame:
 
 def quantised(vectors: DataFrame) -> DataFrame:
     """(vec_id, scale, codes): signed bytes of each vector, by its largest magnitude."""
-    v = vectors.select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
+    v = vectors.where("vec_id is not null and embedding is not null").select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
     v = v.withColumn("scale", F.array_max(F.transform("v", F.abs)) / 127).where("scale > 0")
     return v.select("vec_id", "scale", F.transform("v", lambda x: F.round(x / F.col("scale")).cast("int")).alias("codes"))
 

@@ -2,7 +2,8 @@
 
 Leaves and nodes are hashed under different prefixes; of n leaves the left subtree takes the largest power of
 two below n. That is the tree that pairing neighbours and promoting a lone last node gives, so a distributed
-root hashes aligned blocks of 2**k leaves first, then their roots, until one is left.
+root hashes aligned blocks of 2**k leaves first, then their roots, until one is left. A root is sealed with the
+number of its leaves, so that no proof can claim another.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ import hashlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from palimpsest.storage import removed, ship, written
@@ -36,10 +37,47 @@ def fold(hashes: list[bytes]) -> bytes:
     return level[0]
 
 
+def seal(tree: bytes, n: int) -> bytes:
+    return hashlib.sha256(b"\x02" + n.to_bytes(8, "little") + tree).digest()
+
+
+def sealed(hashes: list[bytes]) -> bytes:
+    return seal(fold(hashes), len(hashes))
+
+
 def _split(n: int) -> int:
     return 1 << ((n - 1).bit_length() - 1)
 
 
+def spine(hashes: list[bytes]) -> list[bytes]:
+    """Roots of the whole subtrees of n leaves, the largest first: one for each bit of n."""
+    out, at = [], 0
+    for k in range(len(hashes).bit_length() - 1, -1, -1):
+        if len(hashes) >> k & 1:
+            out.append(fold(hashes[at : at + (1 << k)]))
+            at += 1 << k
+    return out
+
+
+def appended(parts: list[bytes], n: int, leaf_hash: bytes) -> list[bytes]:
+    """The spine after one more leaf."""
+    out, h = list(parts), leaf_hash
+    while n & 1:
+        h = node(out.pop(), h)
+        n >>= 1
+    return [*out, h]
+
+
+def spine_root(parts: list[bytes]) -> bytes:
+    """The tree of a spine."""
+    if not parts:
+        return fold([])
+    h = parts[-1]
+    for left in reversed(parts[:-1]):
+        h = node(left, h)
+    return h
+
+
 def inclusion(hashes: list[bytes], i: int) -> list[bytes]:
     """Sibling hashes from leaf i up."""
     n = len(hashes)
@@ -52,7 +90,7 @@ def inclusion(hashes: list[bytes], i: int) -> list[bytes]:
 
 
 def included(root: bytes, leaf_hash: bytes, i: int, n: int, path: list[bytes]) -> bool:
-    """Whether the path leads from leaf i of n to the root."""
+    """Whether the path leads from leaf i of n to the sealed root."""
 
     def up(i: int, n: int, path: list[bytes]) -> bytes | None:
         if n == 1:
@@ -63,11 +101,14 @@ def included(root: bytes, leaf_hash: bytes, i: int, n: int, path: list[bytes]) -
         below = up(i, k, path[:-1]) if i < k else up(i - k, n - k, path[:-1])
         return None if below is None else node(below, path[-1]) if i < k else node(path[-1], below)
 
-    return 0 <= i < n and up(i, n, path) == root
+    if not 0 <= i < n:
+        return False
+    tree = up(i, n, path)
+    return tree is not None and seal(tree, n) == root
 
 
 def consistency(hashes: list[bytes], m: int) -> list[bytes]:
-    """Proof that the first m leaves' tree is a prefix of the whole."""
+    """Proof that the first m leaves' tree is a prefix of the whole: the old tree first."""
 
     def part(h: list[bytes], m: int, whole: bool) -> list[bytes]:
         n = len(h)
@@ -78,16 +119,19 @@ def consistency(hashes: list[bytes], m: int) -> list[bytes]:
             return [*part(h[:k], m, whole), fold(h[k:])]
         return [*part(h[k:], m - k, False), fold(h[:k])]
 
-    return part(hashes, m, True)
+    return [fold(hashes[:m]), *part(hashes, m, True)]
 
 
 def consistent(old: bytes, m: int, new: bytes, n: int, proof: list[bytes]) -> bool:
-    rest = list(proof)
+    """Whether the proof leads from the sealed root of m leaves to that of n."""
+    if not proof or not 0 < m <= n or seal(proof[0], m) != old:
+        return False
+    was, *rest = proof
 
     def part(m: int, n: int, whole: bool) -> tuple[bytes, bytes]:
-        """(old root, new root) of a subtree, from the proof's end."""
+        """(old tree, new tree) of a subtree, from the proof's end."""
         if m == n:
-            h = old if whole else rest.pop(0)
+            h = was if whole else rest.pop(0)
             return h, h
         k = _split(n)
         if m <= k:
@@ -98,50 +142,77 @@ def consistent(old: bytes, m: int, new: bytes, n: int, proof: list[bytes]) -> bo
         return node(left, a), node(left, b)
 
     try:
-        return 0 < m <= n and part(m, n, True) == (old, new) and not rest
+        a, b = part(m, n, True)
     except IndexError:
         return False
+    return a == was and seal(b, n) == new and not rest
 
 
-def numbered(rows: DataFrame, order: str) -> DataFrame:
-    """``rows`` with ``idx``, their place in the order, without a window over all: sorted ranges are counted first."""
-    ranged = written(rows.repartitionByRange(order).sortWithinPartitions(order).withColumn("__p", F.spark_partition_id()), "ranged")
-    sizes = sorted((r[0], r[1]) for r in ranged.groupBy("__p").count().collect())  # a row a partition
-    starts, at = {}, 0
-    for p, n in sizes:
-        starts[p] = at
-        at += n
-    offsets = rows.sparkSession.createDataFrame(list(starts.items()), "__p int, __at long")
-    from pyspark.sql import Window
-
-    within = F.row_number().over(Window.partitionBy("__p").orderBy(order)) - 1
-    return ranged.withColumn("__k", within).join(F.broadcast(offsets), "__p").withColumn("idx", F.col("__at") + F.col("__k")).drop("__p", "__at", "__k")
-
+def root(rows: DataFrame, order: str | list[str], data: Column | str, block_bits: int = BLOCK_BITS) -> DataFrame:
+    """(root, n): the sealed root over ``data``, in order of ``order``.
 
-def root(leaves: DataFrame, block_bits: int = BLOCK_BITS) -> DataFrame:
-    """(root, n) of leaves (idx from 0 without gaps, data): blocks of 2**block_bits are folded where they are."""
-    ship(leaves.sparkSession)
-    n = leaves.count()
+    Ranges of the order are sorted where they are and their leaves hashed: 32 bytes a leaf are all that is
+    written. Once the sizes of the ranges are known, each folds the blocks of 2**block_bits leaves that lie
+    within it; what is left at its ends meets the rest of its block, and the roots of the blocks are folded in
+    the same way until one is left.
+    """
+    spark = rows.sparkSession
+    ship(spark)
+    by, content = [order] if isinstance(order, str) else order, F.col(data) if isinstance(data, str) else data
+    ranged = rows.repartitionByRange(*by).sortWithinPartitions(*by).select(F.spark_partition_id().alias("part"), content.cast("binary").alias("d"))
 
-    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group, held, out = None, [], []
+    def leaves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at = 0
         for b in batches:
-            for g, h in zip(b.column("g").to_pylist(), b.column("h").to_pylist()):
-                if g != group:
-                    if held:
-                        out.append((group, fold(held)))
-                    group, held = g, []
-                held.append(h)
-        if held:
-            out.append((group, fold(held)))
-        yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.binary())], ["idx", "h"])
-
-    level = leaves.select("idx", F.unhex(F.sha2(F.concat(F.unhex(F.lit("00")), F.col("data").cast("binary")), 256)).alias("h"))
-    left, old = max(1, n), None
-    while old is None or left > 1:
-        grouped = level.withColumn("g", F.shiftright("idx", block_bits)).repartition("g").sortWithinPartitions("g", "idx")
-        level = written(grouped.select("g", "h").mapInArrow(blocks, "idx long, h binary"), "merkle")
-        if old is not None:
-            removed(old)
-        old, left = level, (left + (1 << block_bits) - 1) >> block_bits
-    return level.select(F.lower(F.hex("h")).alias("root"), F.lit(n).cast("long").alias("n"))
+            h = b"".join([hashlib.sha256(b"\x00" + (d or b"")).digest() for d in b.column("d").to_pylist()])
+            yield pa.RecordBatch.from_arrays([b.column("part").slice(0, 1), pa.array([at], pa.int64()), pa.array([h], pa.binary())], ["part", "at", "hashes"])
+            at += len(b)
+
+    level = written(ranged.mapInArrow(leaves, "part int, at long, hashes binary").where("length(hashes) > 0"), "leaves")
+    sizes = {r[0]: r[1] for r in level.groupBy("part").agg((F.sum(F.length("hashes")) / 32).cast("long")).collect()}  # a row a range
+    starts, n = {}, 0
+    for p in sorted(sizes):
+        starts[p] = n
+        n += sizes[p]
+    if not n:
+        removed(level)
+        return spark.createDataFrame([(sealed([]).hex(), 0)], "root string, n long")
+    offsets = spark.createDataFrame(list(starts.items()), "part int, start long")
+    size = 1 << block_bits
+    runs = level.join(F.broadcast(offsets), "part").select((F.col("start") + F.col("at")).alias("at"), "hashes")
+    count = n
+    while True:
+        parts = runs.mapInArrow(lambda b: _blocks(b, size), "block long, at long, hashes binary, whole boolean")
+        parts = written(parts, "merkle")
+        removed(level)
+        level = parts
+        count = (count + size - 1) // size
+        whole = parts.where("whole").select("block", F.col("hashes").alias("h"))
+        loose = parts.where("not whole").groupBy("block").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("at", F.hex("hashes").alias("x")))), lambda s: s["x"]), "").alias("x"))
+
+        def folded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                got = [fold([x[k : k + 32] for k in range(0, len(x), 32)]) for x in map(bytes.fromhex, b.column("x").to_pylist())]
+                yield pa.RecordBatch.from_arrays([b.column("block"), pa.array(got, pa.binary())], ["block", "h"])
+
+        roots = whole.union(loose.mapInArrow(folded, "block long, h binary"))
+        if count == 1:
+            tree = bytes(roots.first().h)
+            removed(level)
+            return spark.createDataFrame([(seal(tree, n).hex(), n)], "root string, n long")
+        runs = roots.select(F.col("block").alias("at"), F.col("h").alias("hashes"))
+
+
+def _blocks(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
+    """Runs (at, hashes) of successive nodes, cut at multiples of ``size``: whole blocks folded, the others as they are."""
+    for b in batches:
+        out = []
+        for at, h in zip(b.column("at").to_pylist(), b.column("hashes").to_pylist()):
+            end = at + len(h) // 32
+            while at < end:
+                stop = min(end, (at // size + 1) * size)
+                part, h = h[: 32 * (stop - at)], h[32 * (stop - at) :]
+                full = stop - at == size
+                out.append((at // size, at, fold([part[k : k + 32] for k in range(0, len(part), 32)]) if full else part, full))
+                at = stop
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.binary(), pa.bool_()))] if out else [pa.array([], t) for t in (pa.int64(), pa.int64(), pa.binary(), pa.bool_())], ["block", "at", "hashes", "whole"])

@@ -15,7 +15,11 @@ _OPS = "ops AS (SELECT 'c/' || o_custkey AS key, o_orderkey AS ordinal, CASE WHE
 _TURNS = "turns AS (SELECT conv_id AS session, turn AS seq, role, conv_id*10+turn AS created_at, CASE WHEN turn%3=0 THEN conv_id*10+turn+500 END AS expires_at FROM conversations)"
 _AUDIT = "audit AS (SELECT event_id, event_type AS head, user_id AS principal, value, row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS seq FROM events)"
 _HEADS = f"heads AS (SELECT tenant AS head, count(*) AS n, max(generation) AS newest FROM ({_META}) GROUP BY tenant)"
-POLICIES = [("few", "*", "min_count", 10, "enforce"), ("many", "src1*", "max_count", 40, "monitor"), ("fresh", "src3", "min_newest", 30, "enforce"), ("stale", "", "min_newest", 10_000, "monitor")]
+POLICIES = [
+    ("chain", "require-tamper-evident-chain", None, ["src1*"], "enforce", True), ("signed", "require-signed-checkpoints", None, [], "monitor", True), ("sealed", "require-encryption-at-rest", None, ["no such head"], "enforce", True),
+    ("kept", "retention-floor", 500, [], "enforce", True), ("kept a little", "retention-floor", 300, [], "monitor", True), ("who", "require-principal", None, ["src3", "src5", "src1*"], "enforce", True),
+    ("tips", "require-signed-commits", None, ["*"], "monitor", True), ("origin", "require-provenance", None, ["src2"], "enforce", True), ("off", "require-principal", None, [], "enforce", False), ("blank", "require-principal", None, ["src1 *"], "enforce", True),
+]
 
 
 def ops(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -33,9 +37,18 @@ def heads(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents(spark, sf_dir).groupBy(F.col("tenant").alias("head")).agg(F.count(F.lit(1)).alias("n"), F.max("generation").alias("newest"))
 
 
-@query("state_at_version", f"WITH {_OPS} SELECT key, max(ordinal) AS ordinal, arg_max(coalesce(value, ''), ordinal) AS value FROM ops WHERE ordinal <= 9000 GROUP BY key HAVING value <> ''")
+_MIDDLE = "(SELECT max(o_orderkey)//2 FROM orders)"
+
+
+def middle(spark: SparkSession, sf_dir: str) -> int:
+    """The ordinal of the operation in the middle."""
+    return (table(spark, sf_dir, "orders").agg(F.max("o_orderkey")).first()[0] or 0) // 2
+
+
+@query("state_at_version", f"WITH {_OPS} SELECT key, max(ordinal) AS ordinal, arg_max(coalesce(value, ''), ordinal) AS value FROM ops WHERE ordinal <= {_MIDDLE} GROUP BY key HAVING value <> ''")
 def state_at_version(spark, sf_dir):
-    return M.state_at(ops(spark, sf_dir), 9000)
+    """The state after half of all operations."""
+    return M.state_at(ops(spark, sf_dir), middle(spark, sf_dir))
 
 
 @query("state_prefix_scan", f"WITH {_OPS} SELECT key, arg_max(coalesce(value, ''), ordinal) AS value FROM ops WHERE starts_with(key, 'c/1') GROUP BY key HAVING value <> ''")
@@ -45,8 +58,8 @@ def state_prefix_scan(spark, sf_dir):
 
 @query("state_batch_apply", f"WITH {_OPS} SELECT key, arg_max(coalesce(value, ''), ordinal) AS value FROM ops GROUP BY key HAVING value <> ''")
 def state_batch_apply(spark, sf_dir):
-    o = ops(spark, sf_dir)
-    return M.write_many(M.state_at(o, 7000).select("key", "value"), o.where("ordinal > 7000"))
+    o, half = ops(spark, sf_dir), middle(spark, sf_dir)
+    return M.write_many(M.state_at(o, half).select("key", "value"), o.where(F.col("ordinal") > half))
 
 
 @query("state_leaf_boundaries", f"""WITH {_OPS}, h AS (SELECT DISTINCT key, sha256(key) AS h FROM ops), z AS (SELECT key, h, length(regexp_extract(h, '^0*')) AS z FROM h)
@@ -70,9 +83,12 @@ def session_next_seq(spark, sf_dir):
     return M.next_seq(turns(spark, sf_dir))
 
 
-@query("event_cursor", "SELECT event_id, user_id, event_type FROM events WHERE event_id > 4000")
+@query("event_cursor", "SELECT event_id, user_id, event_type FROM events WHERE event_id > (SELECT max(event_id)//3 FROM events)")
 def event_cursor(spark, sf_dir):
-    return table(spark, sf_dir, "events").where("event_id > 4000").select("event_id", "user_id", "event_type")
+    """What came after a reader that has read a third."""
+    e = table(spark, sf_dir, "events")
+    at = (e.agg(F.max("event_id")).first()[0] or 0) // 3
+    return e.where(F.col("event_id") > at).select("event_id", "user_id", "event_type")
 
 
 @query("event_kind_counts", "SELECT event_type, count(*) AS n, min(event_id) AS first_seq, max(event_id) AS last_seq FROM events GROUP BY event_type")
@@ -80,27 +96,40 @@ def event_kind_counts(spark, sf_dir):
     return table(spark, sf_dir, "events").groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.min("event_id").alias("first_seq"), F.max("event_id").alias("last_seq"))
 
 
-@query("event_chain", """WITH RECURSIVE e AS (SELECT user_id, event_id, event_type || '|' || coalesce(props, '') AS body, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k FROM events),
-c(log, k, seq, prev, hash) AS (SELECT user_id, k, event_id, '', sha256(body) FROM e WHERE k = 1
- UNION ALL SELECT log, e.k, event_id, hash, sha256(hash || body) FROM c JOIN e ON e.user_id = c.log AND e.k = c.k + 1)
-SELECT log, seq, prev, hash FROM c""")
+_CHAIN = """e AS (SELECT user_id, event_id, event_type, props, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS k FROM events),
+c(log, seq, kind, "at", data, prev, hash) AS (SELECT user_id, k, event_type, event_id, props, '', sha256('|' || k || '|' || event_id || '|' || sha256(event_type) || '|' || coalesce(props, '')) FROM e WHERE k = 0
+ UNION ALL SELECT log, e.k, event_type, event_id, props, hash, sha256(hash || '|' || e.k || '|' || event_id || '|' || sha256(event_type) || '|' || coalesce(props, '')) FROM c JOIN e ON e.user_id = c.log AND e.k = c.seq + 1)"""
+
+
+def chained(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A chain of each user's events."""
+    return M.chain(table(spark, sf_dir, "events").select(F.col("user_id").alias("log"), F.col("event_id").alias("order"), F.col("event_type").alias("kind"), F.col("event_id").alias("at"), F.col("props").alias("data")))
+
+
+@query("event_chain", f"WITH RECURSIVE {_CHAIN} SELECT log, seq::BIGINT AS seq, prev, hash FROM c")
 def event_chain(spark, sf_dir):
-    e = table(spark, sf_dir, "events").withColumn("body", F.concat("event_type", F.lit("|"), F.coalesce("props", F.lit(""))))
-    return M.chain(e, "user_id", "event_id", "body").drop("body")
+    return chained(spark, sf_dir).select("log", "seq", "prev", "hash")
+
+
+#: Three ways to forge a chain: data changed, rows taken out, the rows after one renumbered.
+_FORGED = "CASE WHEN \"at\" % 97 = 0 THEN data || '!' ELSE data END AS data"
 
 
-@query("event_chain_verify", "SELECT user_id AS log, event_id AS seq, 'rewritten' AS fault FROM events WHERE value > 50")
+@query("event_chain_verify", f"""WITH RECURSIVE {_CHAIN}, f AS (SELECT log, CASE WHEN "at" % 89 = 0 THEN seq + 1000 ELSE seq END AS seq, kind, "at", {_FORGED}, prev, hash FROM c WHERE "at" % 101 <> 0),
+s AS (SELECT *, coalesce(lag(hash) OVER w, '') AS was, row_number() OVER w - 1 AS place FROM f WINDOW w AS (PARTITION BY log ORDER BY seq)),
+r AS (SELECT log, seq::BIGINT AS seq, CASE WHEN sha256(prev || '|' || seq || '|' || "at" || '|' || sha256(kind) || '|' || coalesce(data, '')) <> hash THEN 'rewritten' WHEN prev <> was THEN 'unlinked' WHEN seq <> place THEN 'misplaced' END AS fault FROM s)
+SELECT * FROM r WHERE fault IS NOT NULL""")
 def event_chain_verify(spark, sf_dir):
-    """Bodies are changed where the value is above 50, which the check must find."""
-    e = table(spark, sf_dir, "events").withColumn("body", F.concat("event_type", F.lit("|"), F.coalesce("props", F.lit(""))))
-    kept = M.chain(e, "user_id", "event_id", "body")
-    forged = e.where("value > 50").select(F.col("user_id").alias("log"), F.col("event_id").alias("seq"), F.lit("!").alias("mark"))
-    return M.chain_faults(kept.join(forged, ["log", "seq"], "left").withColumn("body", F.concat("body", F.coalesce("mark", F.lit("")))))
+    """Data changed, rows taken out and rows renumbered, which the check finds from the hashes."""
+    f = chained(spark, sf_dir).where("at % 101 <> 0").withColumns({"seq": F.expr("if(at % 89 = 0, seq + 1000, seq)"), "data": F.expr("if(at % 97 = 0, concat(data, '!'), data)")})
+    return M.chain_faults(f)
 
 
-@query("audit_collect", f"WITH {_AUDIT} SELECT head, seq, event_id, principal FROM audit WHERE event_id BETWEEN 1000 AND 8000")
+@query("audit_collect", f"WITH {_AUDIT} SELECT head, seq, event_id, principal FROM audit WHERE event_id BETWEEN (SELECT max(event_id)//4 FROM events) AND (SELECT max(event_id)//4*3 FROM events)")
 def audit_collect(spark, sf_dir):
-    return _audit(spark, sf_dir).where(F.col("event_id").between(1000, 8000)).select("head", "seq", "event_id", "principal")
+    """The middle half of the period."""
+    part = (table(spark, sf_dir, "events").agg(F.max("event_id")).first()[0] or 0) // 4
+    return _audit(spark, sf_dir).where(F.col("event_id").between(part, 3 * part)).select("head", "seq", "event_id", "principal")
 
 
 def _audit(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -143,28 +172,49 @@ def commit_edges_query(spark, sf_dir):
     return commit_edges(spark, sf_dir)
 
 
-@query("ancestry", f"WITH RECURSIVE {_COMMITS}, w(node) AS (SELECT 20 UNION SELECT dst FROM w JOIN edges ON src = node) SELECT node::BIGINT AS node FROM w")
+#: The commit from which history is followed: the one in the middle.
+_TIP = f"(SELECT max(generation)//2 FROM ({_META}))"
+
+
+def tip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return documents(spark, sf_dir).agg(F.expr("max(generation) div 2").alias("node"))
+
+
+@query("ancestry", f"WITH RECURSIVE {_COMMITS}, w(node) AS (SELECT {_TIP} UNION SELECT dst FROM w JOIN edges ON src = node) SELECT node::BIGINT AS node FROM w")
 def ancestry(spark, sf_dir):
-    edges = commit_edges(spark, sf_dir)
-    return M.reachable(edges, spark.range(20, 21).select(F.col("id").alias("node")))
+    return M.reachable(commit_edges(spark, sf_dir), tip(spark, sf_dir))
+
+
+#: Refs of two copies of a history: every source's head, the remote's moved on, back, or to a side branch (numbers above a million).
+_REFS = f"""t AS (SELECT tenant AS name, max(generation) AS newest, hash AS h FROM (SELECT *, length(tenant) % 4 AS hash FROM ({_META})) GROUP BY ALL),
+b AS (SELECT src, dst FROM edges UNION ALL SELECT 1000000 + generation, generation - 1 FROM g WHERE generation > 0),
+l AS (SELECT name, newest - 2 AS node FROM t WHERE newest >= 2 AND name <> 'src2'),
+r AS (SELECT name, CASE WHEN name < 'src13' THEN newest WHEN name < 'src16' THEN newest - 4 WHEN name < 'src4' THEN 1000000 + newest - 2 ELSE newest - 2 END AS node FROM t WHERE newest >= 4 AND name <> 'src5')"""
 
 
-@query("fast_forward_check", f"""WITH h AS (SELECT tenant, max(generation) AS newest FROM ({_META}) GROUP BY tenant)
-SELECT a.tenant AS local, b.tenant AS remote, CASE WHEN a.newest = b.newest THEN 'same' WHEN a.newest < b.newest THEN 'forward' ELSE 'behind' END AS verdict FROM h a, h b""")
+@query("fast_forward_check", f"""WITH RECURSIVE {_COMMITS}, {_REFS}, h AS (SELECT l.node AS n FROM l JOIN r USING (name) UNION SELECT r.node FROM l JOIN r USING (name)),
+a(head, node) AS (SELECT n, n FROM h UNION SELECT head, dst FROM a JOIN b ON src = node)
+SELECT name, l.node AS local, r.node AS remote, CASE WHEN r.node IS NULL THEN 'local' WHEN l.node IS NULL THEN 'new' WHEN l.node = r.node THEN 'same'
+ WHEN EXISTS (SELECT 1 FROM a WHERE a.head = r.node AND a.node = l.node) THEN 'forward' WHEN EXISTS (SELECT 1 FROM a WHERE a.head = l.node AND a.node = r.node) THEN 'behind' ELSE 'diverged' END AS verdict
+FROM l FULL JOIN r USING (name)""")
 def fast_forward_check(spark, sf_dir):
-    """Whether one tenant's head could be moved to another's: on a single chain the generation tells."""
-    h = heads(spark, sf_dir)
-    both = h.select(F.col("head").alias("local"), F.col("newest").alias("l")).crossJoin(h.select(F.col("head").alias("remote"), F.col("newest").alias("r")))
-    return both.select("local", "remote", F.when(F.col("l") == F.col("r"), "same").when(F.col("l") < F.col("r"), "forward").otherwise("behind").alias("verdict"))
+    """Which refs of a local history could be moved to a remote's, by ancestry over all parents."""
+    edges = commit_edges(spark, sf_dir)
+    g = documents(spark, sf_dir).select("generation").distinct().where("generation > 0")
+    edges = edges.union(g.select(F.col("generation") + 1_000_000, F.col("generation") - 1))
+    t = heads(spark, sf_dir).select(F.col("head").alias("name"), "newest")
+    local = t.where("newest >= 2 and name <> 'src2'").selectExpr("name", "newest - 2 as node")
+    remote = t.where("newest >= 4 and name <> 'src5'").selectExpr("name", "case when name < 'src13' then newest when name < 'src16' then newest - 4 when name < 'src4' then 1000000 + newest - 2 else newest - 2 end as node")
+    return M.fast_forward(edges, local, remote)
 
 
-@query("gc_unreachable", f"""WITH RECURSIVE {_COMMITS}, w(node) AS (SELECT 20 UNION SELECT dst FROM w JOIN edges ON src = node),
+@query("gc_unreachable", f"""WITH RECURSIVE {_COMMITS}, w(node) AS (SELECT {_TIP} UNION SELECT dst FROM w JOIN edges ON src = node),
 d AS (SELECT sha256('blob:' || text) AS hash, generation, octet_length(encode(text)) AS n_bytes FROM ({_META}) WHERE text IS NOT NULL)
 SELECT hash, min(n_bytes) AS n_bytes FROM d WHERE hash NOT IN (SELECT hash FROM d JOIN w ON generation = node) GROUP BY hash""")
 def gc_unreachable(spark, sf_dir):
-    """Blobs to which neither commit 20 nor any it descends from refers."""
+    """Blobs to which neither the middle commit nor any it descends from refers."""
     d = documents(spark, sf_dir).where("text is not null").select("generation", M.blob_hash("text").alias("hash"), F.octet_length("text").cast("long").alias("n"))
-    commits = M.reachable(commit_edges(spark, sf_dir), spark.range(20, 21).select(F.col("id").alias("node")))
+    commits = M.reachable(commit_edges(spark, sf_dir), tip(spark, sf_dir))
     live = d.join(commits, F.col("generation") == F.col("node")).select("hash")
     return d.groupBy("hash").agg(F.min("n").alias("n_bytes")).join(live, "hash", "left_anti")
 
@@ -185,20 +235,40 @@ def checkpoint_chain(spark, sf_dir):
     return c.select("head", "generation", (F.row_number().over(w) - 1).cast("long").alias("sequence"), F.lag("generation").over(w).alias("prev"), F.sum("n").over(w).alias("leaves"))
 
 
-def _policy_sql(where: str) -> str:
-    rows = ", ".join(f"({p!r}, {s!r}, {k!r}, {n}, {m!r})" for p, s, k, n, m in POLICIES)
-    return f"""WITH {_HEADS}, p AS (SELECT * FROM (VALUES {rows}) t(policy, selector, kind, lim, mode)), e AS (SELECT policy, head, CASE
- WHEN (kind='min_count' AND n>=lim) OR (kind='max_count' AND n<=lim) OR (kind='min_newest' AND newest>=lim) THEN 'pass' WHEN mode='enforce' THEN 'fail' ELSE 'warn' END AS status
- FROM p, heads WHERE selector IN ('', '*') OR (ends_with(selector,'*') AND starts_with(head, rtrim(selector,'*'))) OR head=selector) {where}"""
+def _facts_sql() -> str:
+    """What is known of each head: its checkpoints, its retrievals, its tip."""
+    return f"""heads AS (SELECT tenant AS head, count(*) FILTER (generation % 3 = 0) AS chain_length, count(*) FILTER (generation % 3 = 0 AND (doc_id % 2 = 0 OR length(tenant) = 4)) AS chain_signed,
+ min(doc_id) % 5 <> 0 AS chain_ok, count(*) AS retrievals, count(*) FILTER (subject = 's1') AS unnamed, max(generation) AS tip, max(generation) % 2 = 0 AS tip_signed FROM ({_META}) GROUP BY tenant)"""
+
+
+def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d, third = documents(spark, sf_dir), F.col("generation") % 3 == 0
+    return d.groupBy(F.col("tenant").alias("head")).agg(
+        F.count_if(third).alias("chain_length"), F.count_if(third & ((F.col("doc_id") % 2 == 0) | (F.length("tenant") == 4))).alias("chain_signed"), (F.min("doc_id") % 5 != 0).alias("chain_ok"),
+        F.count(F.lit(1)).alias("retrievals"), F.count_if(F.col("subject") == "s1").alias("unnamed"), F.max("generation").alias("tip"), (F.max("generation") % 2 == 0).alias("tip_signed"),
+    )
+
+
+def _policy_sql(select: str) -> str:
+    rows = ", ".join(f"({i!r}, {r!r}, {'NULL' if n is None else n}, {h}::VARCHAR[], {m!r}, {str(e).lower()})" for i, r, n, h, m, e in POLICIES)
+    return f"""WITH {_facts_sql()}, p AS (SELECT * FROM (VALUES {rows}) t(id, rule, min_secs, selectors, mode, enabled) WHERE enabled),
+m AS (SELECT p.*, heads.* FROM p, heads WHERE rule NOT IN ('require-encryption-at-rest', 'retention-floor')
+ AND (len(selectors) = 0 OR len(list_filter(selectors, lambda x: CASE WHEN x LIKE '%*' THEN starts_with(head, x[:-2]) ELSE x = head END)) > 0)),
+e AS (SELECT id AS policy, rule, '(database)' AS head, mode, CASE WHEN (rule = 'require-encryption-at-rest') OR (rule = 'retention-floor' AND {RETENTION} >= min_secs) THEN 'pass' ELSE 'fail' END AS status FROM p WHERE rule IN ('require-encryption-at-rest', 'retention-floor')
+ UNION ALL SELECT id, rule, head, mode, CASE rule WHEN 'require-tamper-evident-chain' THEN CASE WHEN chain_ok AND chain_length > 0 THEN 'pass' ELSE 'fail' END
+  WHEN 'require-signed-checkpoints' THEN CASE WHEN chain_ok AND chain_length > 0 AND chain_signed = chain_length THEN 'pass' ELSE 'fail' END
+  WHEN 'require-principal' THEN CASE WHEN unnamed = 0 THEN 'pass' ELSE 'fail' END
+  WHEN 'require-signed-commits' THEN CASE WHEN tip_signed THEN 'pass' ELSE 'fail' END ELSE 'pass' END FROM m) {select}"""
 
 
 def _policies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = spark.createDataFrame(POLICIES, "id string, selector string, kind string, limit long, mode string")
-    return M.policy_status(p, heads(spark, sf_dir))
+    p = spark.createDataFrame(POLICIES, "id string, rule string, min_secs long, heads array<string>, mode string, enabled boolean")
+    return M.policy_status(p, facts(spark, sf_dir), encrypted=True, retention=RETENTION)
 
 
 @query("policy_eval", _policy_sql("SELECT policy, status, count(*) AS n FROM e GROUP BY ALL"))
 def policy_eval(spark, sf_dir):
+    """Each of the seven rules on the heads that it is for."""
     return _policies(spark, sf_dir).groupBy("policy", "status").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -212,11 +282,27 @@ def manifest_edges(spark, sf_dir):
     return documents(spark, sf_dir).where("text is not null").select(F.col("doc_id").alias("manifest"), M.blob_hash("text").alias("blob"), F.col("tenant").alias("head"))
 
 
-@query("merkle_root")
+def levels_sql(of: str, levels: int, by: str = "", pair: str = "'\\x01'::BLOB") -> str:
+    """CTEs m0 to m<levels> over (idx, h), h hexadecimal: pairs hashed, a lone last node taken along."""
+    cols = f"{by}, " if by else ""
+    out = [f"m0 AS (SELECT {cols}idx, h FROM {of})"]
+    for k in range(levels):
+        out.append(f"m{k + 1} AS (SELECT {cols}idx // 2 AS idx, CASE WHEN count(*) = 1 THEN min(h) ELSE sha256({pair} || unhex(arg_min(h, idx)) || unhex(arg_max(h, idx))) END AS h FROM m{k} GROUP BY {cols}idx // 2)")
+    return ", ".join(out)
+
+
+def seal_sql(n: str, h: str) -> str:
+    """The seal of a tree of n leaves."""
+    return f"sha256('\\x02'::BLOB || unhex(array_to_string([printf('%02x', ({n} >> (8*i)) & 255) for i in range(8)], '')) || unhex({h}))"
+
+
+@query("merkle_root", f"""WITH d AS (SELECT printf('%020d/%010d', l_orderkey, l_linenumber) AS data FROM lineitem), i AS (SELECT row_number() OVER (ORDER BY data) - 1 AS idx, sha256('\\x00'::BLOB || encode(data)) AS h FROM d),
+{levels_sql('i', 26)} SELECT {seal_sql('n', 'h')} AS root, n FROM m26, (SELECT count(*) AS n FROM d)""")
 def merkle_root(spark, sf_dir):
-    """Root over all order lines, in order of (order, line)."""
-    rows = table(spark, sf_dir, "lineitem").select(F.format_string("%020d/%010d", "l_orderkey", "l_linenumber").alias("data"))
-    return merkle.root(merkle.numbered(rows, "data"))
+    """Sealed root over all order lines, in order of (order, line)."""
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber")
+    data = F.concat(F.lpad(F.col("l_orderkey").cast("string"), 20, "0"), F.lit("/"), F.lpad(F.col("l_linenumber").cast("string"), 10, "0"))
+    return merkle.root(rows, ["l_orderkey", "l_linenumber"], data)
 
 
 @query("provenance_by_tag", "SELECT user_id, event_id, json_extract(props, '$.k')::BIGINT AS k FROM events WHERE json_extract(props, '$.k')::BIGINT >= 50")

@@ -109,7 +109,7 @@ def bm25_scores(spark, sf_dir):
 
 @query("bm25_top10", f"WITH {_bm25_sql('len(acl)=0')} {_top('s', 10)}")
 def bm25_top10(spark, sf_dir):
-    return R.ranked(R.bm25(R.visible(documents(spark, sf_dir)), texts(spark, sf_dir)), 10)
+    return R.ranked(R.bm25(R.visible(documents(spark, sf_dir)), texts(spark, sf_dir), 10), 10)
 
 
 @query("bm25_tenant_isolated", f"""WITH {_bm25_sql("len(acl)=0 AND tenant='src3'")} SELECT * FROM s""")
@@ -117,9 +117,12 @@ def bm25_tenant_isolated(spark, sf_dir):
     return R.bm25(R.visible(documents(spark, sf_dir), tenant="src3"), texts(spark, sf_dir))
 
 
-@query("time_travel_search", f"WITH {_bm25_sql('len(acl)=0 AND generation<=12')} {_top('s', 10)}")
+@query("time_travel_search", f"WITH {_bm25_sql('len(acl)=0 AND generation <= (SELECT max(doc_id)//25 - 2 FROM documents)')} {_top('s', 10)}")
 def time_travel_search(spark, sf_dir):
-    return R.ranked(R.bm25(R.visible(documents(spark, sf_dir), generation=12), texts(spark, sf_dir)), 10)
+    """As of two generations before the newest."""
+    d = documents(spark, sf_dir)
+    newest = d.agg(F.max("generation")).first()[0] or 0
+    return R.ranked(R.bm25(R.visible(d, generation=newest - 2), texts(spark, sf_dir), 10), 10)
 
 
 @query("filter_acl", f"SELECT doc_id FROM ({_META}) WHERE len(acl)=0 OR list_has_any(acl, ['group:hr'])")

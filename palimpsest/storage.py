@@ -34,10 +34,15 @@ def shared_dir(spark: SparkSession) -> str:
     return "file://" + _local["dir"]
 
 
+#: Folders written and not yet removed, by application: lazy results read some of them.
+_made: dict[str, set[str]] = {}
+
+
 def written(df: DataFrame, name: str = "table") -> DataFrame:
     """``df`` written as Parquet to a new folder of the shared folder, and read from there."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _made.setdefault(spark.sparkContext.applicationId, set()).add(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -48,7 +53,31 @@ def removed(df: DataFrame) -> None:
     jvm = spark.sparkContext._jvm
     for f in df.inputFiles()[:1]:
         folder = jvm.org.apache.hadoop.fs.Path(f).getParent()
-        folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+        _delete(spark, folder)
+
+
+def _delete(spark: SparkSession, folder) -> None:
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+    name = folder.getName()
+    made = _made.get(spark.sparkContext.applicationId, set())
+    made -= {p for p in made if p.rsplit("/", 1)[-1] == name}
+
+
+def clean(spark: SparkSession) -> int:
+    """Deletes all intermediate tables of this application, once no result that reads them is needed any more. How many."""
+    left = list(_made.get(spark.sparkContext.applicationId, ()))
+    for path in left:
+        _delete(spark, spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path))
+    return len(left)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df``, read from fewer files than there are cores, dealt out to all of them; any other as it is.
+
+    A small file is one task however much work its rows are. Where files are many this does nothing.
+    """
+    n = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(n) if 0 < len(df.inputFiles()) < n else df
 
 
 _shipped: set[str] = set()
