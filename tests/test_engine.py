@@ -165,7 +165,7 @@ def test_events_sessions_and_expiry(spark, db):
     assert [s.append("main", "s1", f"turn {k}".encode(), role="user", ttl=None if k == 1 else 10, now=100 + k)[0] for k in range(3)] == [0, 1, 2]
     assert s.append("main", "s10", b"other", now=100)[0] == 0
     assert [t["bytes"] for t in s.list("main", "s1")] == [b"turn 0", b"turn 1", b"turn 2"] and [t["seq"] for t in s.list("main", "s1", now=111)] == [1, 2]
-    assert s.collect_garbage("main", 150) == 0 and s.collect_garbage("main", 201) == 2 and [t["seq"] for t in s.list("main", "s1")] == [1]
+    assert s.collect_garbage("main", 150) == 0 and s.collect_garbage("main", 202) == 2 and [t["seq"] for t in s.list("main", "s1")] == [1]
     for bad in ("", "a/b", "a\n"):
         with pytest.raises(ValueError):
             s.append("main", bad, b"x")
