@@ -282,7 +282,7 @@ def audit_faults(records: DataFrame, manifests: DataFrame, carriers: DataFrame,
     out.append(joined.where("carried is not null and not body <=> carried").select("manifest", F.lit("record differs")))
     out.append(r.join(carriers, ["commit", "manifest"], "left_anti").select("manifest", F.lit("not carried by its commit")))
     out.append(m.join(r, "manifest", "left_anti").select("manifest", F.lit("record withheld")))
-    w = Window.partitionBy("head").orderBy("seq")
+    w = Window.partitionBy("head").orderBy("seq", "manifest")
     seen = r.withColumns({"last": F.lag("seq").over(w), "before": F.lag("manifest").over(w)}).where("last is not null")
     out.append(seen.select("manifest", F.when(F.col("seq") == F.col("last"), "repeated").when(F.col("seq") != F.col("last") + 1, "gap").when(F.col("prev") != F.col("before"), "unlinked").alias("fault")).where("fault is not null"))
     every = out[0]

@@ -25,7 +25,7 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def _load() -> None:
-    from palimpsest.queries import memory, retrieval  # noqa: F401  (they register themselves)
+    from palimpsest.queries import memory, records, retrieval  # noqa: F401  (they register themselves)
 
 
 def queries() -> dict[str, Query]:

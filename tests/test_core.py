@@ -183,3 +183,27 @@ def test_codec_and_signatures():
     assert E.verify(E.public(secret), b"", sig) and not E.verify(E.public(secret), b"x", sig) and not E.verify(b"\0" * 31, b"", sig)
     other = E.generate()
     assert E.verify(E.public(other), b"m", E.sign(other, b"m")) and not E.verify(E.public(other), b"", sig)
+
+
+def test_approximate_search_finds_nine_of_ten(spark):
+    from palimpsest.operators.records import Cells, two_stage
+
+    rng = random.Random(6)
+    rows = [(k, [rng.gauss(0, 1) + 2 * ((k * 7 + j) % 5 == 0) for j in range(16)]) for k in range(3000)]
+    v = spark.createDataFrame([*rows, (None, rows[0][1]), (9000, [0.0] * 16), (9001, [1.0])], "vec_id long, embedding array<float>").repartition(5)
+    queries = {i: [x + rng.gauss(0, 0.3) for x in rows[i * 50][1]] for i in range(40)}
+    exact = {(r.query_id, r.doc_id) for r in R.vector_topk(v, queries, 10).collect()}
+    for got in (Cells(v, 16).search(queries, 10), two_stage(v, queries, 10)):
+        found = {(r.query_id, r.doc_id) for r in got.collect()}
+        assert len(found) == 400 and len(found & exact) >= 0.9 * len(exact)
+    assert {(r.query_id, r.doc_id) for r in Cells(v, 16).search(queries, 10, probes=64).collect()} == exact
+
+
+def test_names_as_columns_and_as_values(spark):
+    from palimpsest.engine.refs import valid_name
+    from palimpsest.operators.records import ref_name_holds
+
+    rng = random.Random(8)
+    names = ["".join(rng.choice("ab/.-_L. lock") for _ in range(rng.randrange(7))) + rng.choice(["", ".lock", "/x", "\n"]) for _ in range(600)] + ["a/b/c/d/e", "a/b/c/d/e/f"]
+    got = spark.createDataFrame([(n,) for n in names], "name string").select("name", ref_name_holds(F.col("name")).alias("ok")).collect()
+    assert {(r.name, r.ok) for r in got} == {(n, valid_name(n)) for n in names} and 20 < sum(r.ok for r in got) < 580
