@@ -278,13 +278,8 @@ def train(docs: DataFrame, labels: DataFrame, *, max_rows: int = MAX_ROWS, id_co
     return Classifier(quality, fit(x, z) if len(z) else Additive(bias=-10.0), bad, toxic)
 
 
-def score(docs: DataFrame, model: Classifier, *, text_col: str = "text", min_quality: float = 0.5, max_toxicity: float = 0.5) -> DataFrame:
-    """``docs`` with ``quality_score``, ``toxic_score`` and ``keep``; columns of these names are replaced.
-
-    A null or empty text has quality 0 and toxicity 0, and isn't kept. Rows are judged one by one, so
-    repeated rows get equal scores and a row's other columns, nulls among them, don't matter. Texts may be
-    of any length; an empty table gives an empty result.
-    """
+def _scorer(docs: DataFrame, model: Classifier):
+    """The model as a function of a text column."""
     ship(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # tables and word lists of fixed size: under 50 kB
 
@@ -296,8 +291,26 @@ def score(docs: DataFrame, model: Classifier, *, text_col: str = "text", min_qua
         cols = [np.where(some, np.round(f.probability(x), 9), 0.0) for f in (m.quality, m.toxicity)]
         return pa.StructArray.from_arrays([pa.array(c) for c in cols], ["q", "t"])
 
+    return scores
+
+
+def score(docs: DataFrame, model: Classifier, *, text_col: str = "text", min_quality: float = 0.5, max_toxicity: float = 0.5) -> DataFrame:
+    """``docs`` with ``quality_score``, ``toxic_score`` and ``keep``; columns of these names are replaced.
+
+    A null or empty text has quality 0 and toxicity 0, and isn't kept. Rows are judged one by one, so
+    repeated rows get equal scores and a row's other columns, nulls among them, don't matter. Texts may be
+    of any length; an empty table gives an empty result.
+    """
+    scores = _scorer(docs, model)
     kept = [c for c in docs.columns if c not in ("quality_score", "toxic_score", "keep")]
     own = fresh("scores", docs)
     out = docs.select(*(named(c) for c in kept), scores(F.coalesce(named(text_col), F.lit(""))).alias(own))
     q, t = F.col(own)["q"], F.col(own)["t"]
     return out.select(*(named(c) for c in kept), q.alias("quality_score"), t.alias("toxic_score"), ((q >= min_quality) & (t < max_toxicity)).alias("keep"))
+
+
+def kept(docs: DataFrame, model: Classifier, *, text_col: str = "text", min_quality: float = 0.5, max_toxicity: float = 0.5) -> DataFrame:
+    """The rows of ``docs`` that ``score`` would keep, with their own columns, whatever the names of these."""
+    own = fresh("scores", docs)
+    out = docs.withColumn(own, _scorer(docs, model)(F.coalesce(named(text_col), F.lit(""))))
+    return out.where((F.col(own)["q"] >= min_quality) & (F.col(own)["t"] < max_toxicity)).drop(own)
