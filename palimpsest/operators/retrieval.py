@@ -78,6 +78,8 @@ def lengths(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.size(tokens("text")).alias("dl"))
 
 
+#: Terms of all queries together that are gathered on the driver.
+ASKED = 200_000
 #: Entries of the table of query terms by queries that is sent to every worker (8 bytes each).
 WEIGHTS = 8_000_000
 
@@ -121,16 +123,18 @@ def bm25(docs: DataFrame, queries: DataFrame, k: int | None = None) -> DataFrame
     are joined by a shuffle, to the same scores.
     """
     asked = _query_terms(queries)
-    n_terms, n_queries = asked.agg(F.countDistinct("term"), F.countDistinct("query_id")).first()
-    if n_terms * n_queries > WEIGHTS:
-        return joined_bm25(docs, asked)
-    rows = asked.collect()  # WEIGHTS at most
+    rows = asked.limit(ASKED + 1).collect()
     terms, ids = sorted({r.term for r in rows}), np.array(sorted({r.query_id for r in rows}), np.int64)
+    if len(rows) > ASKED or len(terms) * len(ids) > WEIGHTS:
+        return joined_bm25(docs, asked)
     found = written(occurrences(docs, terms), "occurrences")
-    n, avgdl = found.agg(F.count(F.lit(1)), F.greatest(F.avg("dl"), F.lit(1.0))).first()
-    df = np.zeros(len(terms))
-    for r in found.select(F.explode_outer("term").alias("t")).where("t is not null").groupBy("t").count().collect():  # a row a query term at most
-        df[r[0]] = r[1]
+    df, n, total = np.zeros(len(terms)), 0, 0
+    for r in found.mapInArrow(_counted, "term int, n long, dl long").groupBy("term").agg(F.sum("n").alias("n"), F.sum("dl").alias("dl")).collect():  # a row a query term, and one
+        if r.term < 0:
+            n, total = r.n, r.dl
+        else:
+            df[r.term] = r.n
+    avgdl = max(1.0, total / n) if n else 1.0
     weights = np.zeros((len(terms), len(ids)))
     number, at = {t: i for i, t in enumerate(terms)}, {int(q): i for i, q in enumerate(ids)}
     for r in rows:
@@ -165,6 +169,14 @@ def bm25(docs: DataFrame, queries: DataFrame, k: int | None = None) -> DataFrame
     return found.mapInArrow(score, "query_id long, doc_id long, score double")
 
 
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Documents that have each term, and as term -1 the documents and their length."""
+    for b in batches:
+        t, c = np.unique(b.column("term").flatten().to_numpy(), return_counts=True)
+        dl = int(b.column("dl").to_numpy().sum())
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(t, -1).astype(np.int32)), pa.array(np.append(c, len(b)).astype(np.int64)), pa.array(np.append(np.zeros(len(t)), dl).astype(np.int64))], ["term", "n", "dl"])
+
+
 def _scores(ids: np.ndarray, got: tuple[np.ndarray, np.ndarray, np.ndarray]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(ids[got[0]]), pa.array(got[1]), pa.array(got[2])], ["query_id", "doc_id", "score"])
 

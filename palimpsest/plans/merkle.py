@@ -196,8 +196,8 @@ def root(rows: DataFrame, order: str | list[str], data: Column | str, block_bits
                 yield pa.RecordBatch.from_arrays([b.column("block"), pa.array(got, pa.binary())], ["block", "h"])
 
         roots = whole.union(loose.mapInArrow(folded, "block long, h binary"))
-        if count == 1:
-            tree = bytes(roots.first().h)
+        if count <= size:
+            tree = fold([bytes(r.h) for r in sorted(roots.collect(), key=lambda r: r.block)])  # 2**block_bits at most
             removed(level)
             return spark.createDataFrame([(seal(tree, n).hex(), n)], "root string, n long")
         runs = roots.select(F.col("block").alias("at"), F.col("h").alias("hashes"))
