@@ -34,7 +34,7 @@ def reference_roots(rows: DataFrame, key: str, leaves: str) -> DataFrame:
     return rows.select(key, root(leaves).alias("root"), F.size(leaves).alias("n"))
 
 
-_REF = r"^[A-Za-z0-9_./-]+$"
+_REF = r"^[A-Za-z0-9_./-]+\z"
 
 
 def ref_name_holds(name: Column) -> Column:
