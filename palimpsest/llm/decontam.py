@@ -32,8 +32,8 @@ from palimpsest.storage import ship, written
 #: Weight 8, over 8 to 13 tokens: contiguous, and three that let substitutions by.
 MASKS = ("11111111", "1101100111011", "1110010110111", "111011010011")
 MIN_TOKENS, MIN_RATIO = 13, 0.8
-#: Benchmark windows that are sent to every worker; 16 bytes each, so 64 MB.
-BROADCAST_WINDOWS = 4_000_000
+#: Benchmark windows that are sent to every worker; 16 bytes each, so 16 MB. A worker holds a table of 64 to 128 MB beside them.
+BROADCAST_WINDOWS = 1_000_000
 #: Most bits of the Bloom filter of the way beyond (64 MB). It has 16 a window up to there; beyond, more windows pass it and are joined.
 BLOOM_BITS = 1 << 29
 _ODD = U64(0x9E3779B97F4A7C15)
@@ -87,10 +87,22 @@ class Index:
         at = np.concatenate(at) if at else np.empty((0, 2), np.int32)
         o = np.argsort(keys, kind="stable")
         self.keys, self.at = keys[o], at[o]
-        # 16 bits a key: most windows of a document are turned away by one look-up
+        self._mark()
+
+    def _mark(self) -> None:
+        """A table of 64 entries a key or more: most windows of a document are turned away by one look-up."""
+        keys = self.keys
         self.bits = np.zeros(1 << max(16, int(len(keys) * 64 - 1).bit_length() if len(keys) else 16), bool)
         self.bits[(self.keys & U64(len(self.bits) - 1)).astype(np.int64)] = True
 
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k != "bits"}  # made again where it arrives
+
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__.update(state)
+        if "keys" in state:
+            self._mark()
+
     def hits(self, h: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(first token, item's number, item position) of each hit of windows that stay in one text."""
         out = []
