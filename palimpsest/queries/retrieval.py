@@ -146,7 +146,11 @@ def latest_version_wins(spark, sf_dir):
     return R.latest(d, "chunk_hash", "doc_id")
 
 
-@query("hit_previews")
+_BLANKS = r"[\t-\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
+
+
+@query("hit_previews", f"""WITH {_bm25_sql('len(acl)=0')}, h AS ({_top('s', 10)}), l AS (SELECT h.*, replace(regexp_replace(text, '^{_BLANKS}|{_BLANKS}$', '', 'g'), chr(10), ' ') AS line FROM h JOIN d USING (doc_id))
+SELECT query_id, doc_id, score, rank, CASE WHEN octet_length(encode(line)) <= 96 THEN line ELSE left(line, list_max([n for n in range(20, 97) if octet_length(encode(left(line, n))) <= 96])) || '...' END AS preview FROM l""")
 def hit_previews(spark, sf_dir):
     """The best ten of each query with a line of their text, joined after the ranking."""
     d = documents(spark, sf_dir)

@@ -51,8 +51,9 @@ def removed(df: DataFrame) -> None:
     """Deletes the folder that ``written`` made, once nothing will read it again."""
     spark = df.sparkSession
     jvm = spark.sparkContext._jvm
-    for f in df.inputFiles()[:1]:
-        folder = jvm.org.apache.hadoop.fs.Path(f).getParent()
+    files = df._jdf.inputFiles()
+    if len(files):
+        folder = jvm.org.apache.hadoop.fs.Path(files[0]).getParent()
         _delete(spark, folder)
 
 
@@ -77,7 +78,8 @@ def spread(df: DataFrame) -> DataFrame:
     A small file is one task however much work its rows are. Where files are many this does nothing.
     """
     n = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(n) if 0 < len(df.inputFiles()) < n else df
+    files = len(df._jdf.inputFiles())  # counted where they are: there may be very many
+    return df.repartition(n) if 0 < files < n else df
 
 
 _shipped: set[str] = set()
