@@ -3,15 +3,19 @@
 A document is its set of hashed word n-grams; documents of equal sets are one set. Sets whose Jaccard
 similarity reaches ``threshold`` are found in three steps.
 
-1. Routing. A set goes to one bucket for each of ``BANDS`` keys, each of ``ROWS`` min-hashes, so a pair at
-   similarity s meets with probability 1 - (1 - s**ROWS)**BANDS: 0.96 at 0.5, 0.997 at 0.6. This is
-   the only step that can miss a pair. Buckets of one set are dropped before anything but keys is moved.
+1. Routing. Two sets as similar as the threshold share at least that part of the n-grams of each. A rank
+   is given to every n-gram: the number of texts that have it, then the least label of these. Of its n-grams
+   that other texts have too, a set goes to the buckets of those that enough others of its own, of this
+   rank or higher, stand beside; a bucket is a least label. The shared n-gram of lowest rank is such a one in
+   both sets, so every pair meets, whatever its similarity above the threshold. A set too
+   few of whose n-grams are in other texts goes nowhere, and a bucket of one set is dropped. To count, n-grams
+   are dealt to ranges by chunks of texts, as arrays; only counts and labels come back.
 2. Signature trees. In a bucket the sets, by size, are leaves of a tree whose nodes hold the OR of their
    512-bit token bitmaps, the range of their sizes, and the most tokens by which a set exceeds
    its bits. Traversing the tree against itself, a pair of nodes is dropped when
    ``min(sizes, common bits + excess)``, the most tokens that any of their sets can share, is too few for
    the threshold. The same bound then drops pairs of sets. It never drops a true pair. A pair
-   that meets in several buckets is reported by the first band in which their whole keys are equal.
+   that meets in several buckets is made one afterwards.
    A bucket of more than ``BLOCK`` sets is cut to blocks, and every pair of blocks is a cell of its own,
    of two trees, that any task can take.
 3. Verification on the sets themselves. A pair is verified at the smallest set near it (the smaller of the
@@ -39,7 +43,6 @@ from palimpsest.llm.tokens import U64, Tokens, gram_hash, mix, tokenised, window
 from palimpsest.storage import removed, ship, written
 
 GRAM, THRESHOLD = 3, 0.5
-BANDS, ROWS = 24, 3
 WORDS = 8  # of 64 bits, of a bitmap
 LEAF = 16
 #: Sets of a block of a bucket: two blocks meet in one task.
@@ -48,8 +51,12 @@ BLOCK = 2048
 PLACE_GRAMS, LEAST_GRAMS = 1_000_000, 400
 #: Pairs of leaves whose sets are compared at a time.
 SLICE = 1024
+#: n-grams of a chunk of texts, and about as many of a range.
+CHUNK_GRAMS, PART_GRAMS = 2_000_000, 2_000_000
 _DOC_BITS = U64(20)
-_SEEDS = mix(np.arange(1, BANDS * ROWS + 1, dtype=U64)) | U64(1)
+#: A rank is a count in the upper 16 bits, at most 65,535, and a label.
+_LABEL = U64(48)
+_DEALT = "part int, chunk long, kind int, a binary, b binary, c binary"
 
 
 def gram_sets(t: Tokens, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -77,36 +84,160 @@ def set_hashes(g: np.ndarray, first: np.ndarray) -> np.ndarray:
         return mix(np.add.reduceat(mix(g), first[:-1]) + np.diff(first).astype(U64)).view(np.int64)
 
 
-def sketches(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
+def _sets(batches: Iterator[pa.RecordBatch], gram: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(ids, n-grams, sizes) of the texts that have any, of about a megabyte at a time."""
     for batch in batches:
         ids = batch.column(0).to_numpy()
         for i, _, t in tokenised(batch.column(1)):
-            g, ends = gram_sets(t, n)
+            g, ends = gram_sets(t, gram)
             size = np.diff(ends)
             (some,) = np.nonzero(size)
-            if not len(some):
-                continue
-            first = np.concatenate([ends[some], [len(g)]])
-            keys = np.empty((len(some), BANDS), U64)
-            with np.errstate(over="ignore"):
-                for b in range(BANDS):
-                    k = np.full(len(some), U64(b + 1))
-                    for r in range(ROWS):
-                        k = k * U64(0x9E3779B97F4A7C15) + np.minimum.reduceat(g * _SEEDS[b * ROWS + r], first[:-1])
-                    keys[:, b] = np.maximum(mix(k), U64(1))  # 0 is no key
-            bits = np.zeros((len(some), WORDS * 64), bool)
-            bits[np.repeat(np.arange(len(some)), size[some]), (g & U64(WORDS * 64 - 1)).astype(np.int64)] = True
-            packed = np.packbits(bits, axis=1)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(ids[i + some]),
-                    pa.array(set_hashes(g, first)),
-                    pa.array(size[some].astype(np.int32)),
-                    pa.FixedSizeListArray.from_arrays(keys.view(np.int64).ravel(), BANDS).cast(pa.list_(pa.int64())),
-                    pa.array(list(map(bytes, packed)), pa.binary()),
-                ],
-                ["doc_id", "set", "n", "keys", "bits"],
-            )
+            if len(some):
+                yield ids[i + some], g, size[some]
+
+
+def _first(size: np.ndarray) -> np.ndarray:
+    """Offsets from 0 of runs of these sizes."""
+    return np.concatenate([np.zeros(1, np.int64), np.cumsum(size, dtype=np.int64)])
+
+
+def sketches(batches: Iterator[pa.RecordBatch], gram: int) -> Iterator[pa.RecordBatch]:
+    for ids, g, size in _sets(batches, gram):
+        yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(set_hashes(g, _first(size))), pa.array(size.astype(np.int32))], ["doc_id", "set", "n"])
+
+
+def _rows(part: list, chunk: list, kind: int, *blobs: list) -> pa.RecordBatch:
+    cols = [pa.array(part, pa.int32()), pa.array(chunk, pa.int64()), pa.array([kind] * len(part), pa.int32()), *(pa.array([x.tobytes() for x in b], pa.binary()) for b in blobs)]
+    return pa.RecordBatch.from_arrays(cols, ["part", "chunk", "kind", "a", "b", "c"])
+
+
+def dealt(batches: Iterator[pa.RecordBatch], gram: int, parts: int, most: int) -> Iterator[pa.RecordBatch]:
+    """Rows (doc_id, text) to those of chunks: of kind 0 (sets, sizes, bitmaps of tokens), one a chunk, and of kind 1
+    (texts, how many n-grams of each, lower 32 bits of these), one for each range of n-grams.
+
+    A chunk has at most ``most`` n-grams or is about a megabyte of text, and is named by what is in it. Texts are counted from 0 in it.
+    """
+
+    def chunk(ids: np.ndarray, g: np.ndarray, size: np.ndarray) -> Iterator[pa.RecordBatch]:
+        sets = set_hashes(g, _first(size))
+        text = np.repeat(np.arange(len(size), dtype=np.uint32), size)
+        with np.errstate(over="ignore"):
+            name = int(np.add.reduce(mix(mix(ids.view(U64)) + sets.view(U64) + np.arange(len(ids), dtype=U64))).view(np.int64))
+        bits = np.zeros((len(size), WORDS * 64), bool)
+        bits[text, (g & U64(WORDS * 64 - 1)).astype(np.int64)] = True
+        yield _rows([name % parts], [name], 0, [sets], [size.astype(np.int32)], [np.packbits(bits, axis=1)])
+        part = (((g >> U64(28)) * U64(parts)) >> U64(16)).astype(np.uint16)
+        order = np.argsort(part, kind="stable")
+        part, text, low = part[order], text[order], g[order].astype(np.uint32)
+        run = _starts([part, text])
+        count = np.diff(np.append(run, len(text))).astype(np.uint32)
+        new = _starts([part])
+        at = np.append(np.searchsorted(run, new), len(run))
+        new_end = np.append(new, len(part))
+        text = text[run]
+        for k in range(0, len(new), 512):
+            some = range(k, min(k + 512, len(new)))
+            yield _rows(part[new[k : k + 512]].tolist(), [name] * len(some), 1, [text[at[x] : at[x + 1]] for x in some], [count[at[x] : at[x + 1]] for x in some], [low[new_end[x] : new_end[x + 1]] for x in some])
+
+    held, grams = [], 0
+    for ids, g, size in _sets(batches, gram):
+        if held and grams + len(g) > most:
+            yield from chunk(*(np.concatenate(x) for x in zip(*held)))
+            held, grams = [], 0
+        held.append((ids, g, size))
+        grams += len(g)
+    if held:
+        yield from chunk(*(np.concatenate(x) for x in zip(*held)))
+
+
+def ranked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of ``dealt`` in order of part: kind 0 as they are, of kind 1 (texts, how many n-grams, their rank), of n-grams in several texts.
+
+    n-grams of a range whose lower 32 bits are equal count as one: they share a rank, which loses no pair.
+    """
+
+    def judged(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
+        part, chunks = rows[0][0], np.array([r[1] for r in rows], np.int64)
+        texts, counts, low = ([np.frombuffer(r[k], np.uint32) for r in rows] for k in (2, 3, 4))
+        first = _first(np.array([len(x) for x in texts]))
+        text, count = np.concatenate(texts), np.concatenate(counts)
+        with np.errstate(over="ignore"):
+            label = mix(np.repeat(chunks.view(U64), np.diff(first)) + mix(text.astype(U64))) >> (U64(64) - _LABEL)
+        keys = (np.concatenate(low).astype(U64) << U64(32)) | np.repeat(np.arange(len(text), dtype=U64), count)
+        keys.sort()
+        entry, keys = (keys & U64(0xFFFFFFFF)).astype(np.int64), keys >> U64(32)
+        run = _starts([keys])
+        df = np.diff(np.append(run, len(keys)))
+        rank = (np.minimum(df, 65_535).astype(U64) << _LABEL) | np.minimum.reduceat(label[entry], run)
+        some = np.repeat(df > 1, df)
+        entry, rank = entry[some], np.repeat(rank[df > 1], df[df > 1])
+        order = np.lexsort((rank, entry))
+        entry, rank = entry[order], rank[order]
+        run = _starts([entry, rank])
+        many = np.diff(np.append(run, len(entry))).astype(np.uint32)
+        entry, rank = entry[run], rank[run]
+        cut = np.searchsorted(entry, first)
+        full = np.nonzero(np.diff(cut))[0].tolist()
+        if full:
+            at = [slice(cut[r], cut[r + 1]) for r in full]
+            yield _rows([part] * len(full), chunks[full].tolist(), 1, [text[entry[x]] for x in at], [many[x] for x in at], [rank[x] for x in at])
+
+    rows: list[tuple] = []
+    for batch in batches:
+        kind = batch["kind"].to_numpy()
+        if not kind.all():
+            yield batch.filter(pa.array(kind == 0))
+        part, chunk, blobs = batch["part"].to_pylist(), batch["chunk"].to_pylist(), [batch[c] for c in "abc"]
+        for r in np.nonzero(kind)[0].tolist():
+            if rows and rows[0][0] != part[r]:
+                yield from judged(rows)
+                rows = []
+            rows.append((part[r], chunk[r], *(b[r].as_py() for b in blobs)))
+    if rows:
+        yield from judged(rows)
+
+
+def routes(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.RecordBatch]:
+    """Rows of ``ranked`` in order of (chunk, kind) to the buckets of sets, (key, set, n, bits)."""
+
+    def judged(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
+        sets, n = np.frombuffer(rows[0][2], np.int64), np.frombuffer(rows[0][3], np.int32)
+        rest = [r for r in rows if r[1]]
+        if not rest:
+            return
+        text, many, rank = (np.concatenate([np.frombuffer(r[k], t) for r in rest]) for k, t in ((2, np.uint32), (3, np.uint32), (4, U64)))
+        need = np.maximum(np.ceil(threshold * n - 1e-9), 1)
+        ok = (np.bincount(text, many, len(n)) >= need)[text]
+        text, many, rank = text[ok], many[ok].astype(np.int64), rank[ok]
+        if not len(text):
+            return
+        order = np.lexsort((rank, text))
+        text, rank = text[order], rank[order]
+        run = _starts([text, rank])
+        many, text, rank = np.add.reduceat(many[order], run), text[run], rank[run]
+        before = _first(many)
+        ends = np.append(_starts([text])[1:], len(text))
+        ok = np.repeat(before[ends], np.diff(np.append(0, ends))) - before[:-1] >= need[text]  # those of this rank or higher
+        text, key = text[ok], rank[ok] & ((U64(1) << _LABEL) - U64(1))
+        order = np.lexsort((key, text))
+        text, key = text[order], key[order]
+        run = _starts([text, key])
+        text, key = text[run], key[run]
+        width = WORDS * 8
+        bits = [rows[0][4][x * width : (x + 1) * width] for x in text.tolist()]
+        yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(sets[text]), pa.array(n[text]), pa.array(bits, pa.binary())], ["key", "set", "n", "bits"])
+
+    here, rows = None, []
+    for batch in batches:
+        chunk, kind, blobs = batch["chunk"].to_pylist(), batch["kind"].to_pylist(), [batch[c] for c in "abc"]
+        for r in range(len(batch)):
+            if chunk[r] != here:
+                if rows:
+                    yield from judged(rows)
+                here, rows = chunk[r], []
+            rows.append((chunk[r], kind[r], *(b[r].as_py() for b in blobs)))
+    if rows:
+        yield from judged(rows)
 
 
 def _may_share(n_a, n_b, excess_a, excess_b, common):
@@ -190,7 +321,7 @@ def _starts(cols: list[np.ndarray]) -> np.ndarray:
 
 
 def bucket_join(batches: Iterator[pa.RecordBatch], share: float) -> Iterator[pa.RecordBatch]:
-    """Rows (key, ci, cj, block, band, set, n, bits, at) in order of (key, ci, cj, block, n) to pairs of sets, each from its first band."""
+    """Rows (key, ci, cj, block, set, n, bits) in order of (key, ci, cj, block, n) to pairs of sets."""
 
     def cells(t: pa.Table) -> np.ndarray:
         return _starts([t[c].to_numpy() for c in ("key", "ci", "cj")])
@@ -200,14 +331,9 @@ def bucket_join(batches: Iterator[pa.RecordBatch], share: float) -> Iterator[pa.
         size = np.diff(np.append(start, len(t)))
         if size.max(initial=0) < 2:
             return
-        sets, n, band = t["set"].to_numpy(), t["n"].to_numpy().astype(np.int64), t["band"].to_numpy()
+        sets, n = t["set"].to_numpy(), t["n"].to_numpy().astype(np.int64)
         ci, cj, block = (t[c].to_numpy() for c in ("ci", "cj", "block"))
         bits = np.frombuffer(b"".join(t["bits"].to_pylist()), U64).reshape(-1, WORDS)
-        at = t["at"].combine_chunks()
-        keys = np.zeros((len(t), BANDS), np.int64)
-        rows = np.repeat(np.arange(len(t)), np.diff(at.offsets.to_numpy()))
-        flat = at.flatten()
-        keys[rows, flat.field("band").to_numpy()] = flat.field("key").to_numpy()
 
         def found() -> Iterator[tuple[np.ndarray, np.ndarray]]:
             own = ci[start] == cj[start]
@@ -227,11 +353,8 @@ def bucket_join(batches: Iterator[pa.RecordBatch], share: float) -> Iterator[pa.
         for i, j in found():
             x, y = _kept(i, j, n, bits, share)
             for c in range(0, len(x), 1 << 16):
-                u, v = x[c : c + (1 << 16)], y[c : c + (1 << 16)]
-                first = np.argmax((keys[u] == keys[v]) & (keys[u] != 0), axis=1) == band[u]
-                s, r = sets[u[first]], sets[v[first]]
-                if len(s):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(s, r)), pa.array(np.maximum(s, r))], ["a", "b"])
+                s, r = sets[x[c : c + (1 << 16)]], sets[y[c : c + (1 << 16)]]
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(s, r)), pa.array(np.maximum(s, r))], ["a", "b"])
 
     held: list[pa.RecordBatch] = []
     rows = 0
@@ -375,25 +498,27 @@ class Found:
         ship(docs.sparkSession)
         share = threshold / (1 + threshold) - 1e-9
         d = docs.where(named(id_col).isNotNull()).select(named(id_col).cast("long").alias("doc_id"), F.lower(named(text_col)).alias("text")).where("text is not null")
-        known = written(d.mapInArrow(lambda b: sketches(b, gram), "doc_id long, set long, n int, keys array<long>, bits binary"), "sketches")
+        known = written(d.mapInArrow(lambda b: sketches(b, gram), "doc_id long, set long, n int"), "sketches")
         self.members = known.select("doc_id", "set").distinct()
         self.sets = self.members.groupBy("set").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"))
-        sketch = known.groupBy("set").agg(F.first("n").alias("n"), F.first("keys").alias("keys"), F.first("bits").alias("bits"))
-
-        thin = sketch.select("set", F.posexplode("keys").alias("band", "key"))
-        several = thin.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
-        at = thin.join(several, "key").groupBy("set").agg(F.collect_list(F.struct("band", "key", "m")).alias("at"))  # BANDS at most
-        routed = at.join(sketch.select("set", "n", "bits"), "set").select("set", "n", "bits", "at", F.explode("at").alias("here"))
-        routed = routed.select("set", "n", "bits", "at", "here.key", "here.band", F.ceil(F.col("here.m") / BLOCK).cast("int").alias("blocks")).withColumn("block", _block("set"))
+        sizes = known.select("set", "n").distinct()
+
+        grams = known.agg(F.sum("n")).first()[0] or 0
+        parts = min(1 << 16, max(2 * docs.sparkSession.sparkContext.defaultParallelism, -(-grams // PART_GRAMS)))
+        ranks = d.mapInArrow(lambda b: dealt(b, gram, parts, CHUNK_GRAMS), _DEALT).repartition("part").sortWithinPartitions("part").mapInArrow(ranked, _DEALT)
+        routed = ranks.repartition("chunk").sortWithinPartitions("chunk", "kind").mapInArrow(lambda b: routes(b, threshold), "key long, set long, n int, bits binary")
+        routed = written(routed.groupBy("key", "set").agg(F.first("n").alias("n"), F.first("bits").alias("bits")), "routes")
+        several = routed.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
+        routed = routed.join(several, "key").withColumn("blocks", F.ceil(F.col("m") / BLOCK).cast("int")).withColumn("block", _block("set"))
         routed = routed.select("*", F.inline(_cells("block", "blocks"))).repartition("key", "ci", "cj").sortWithinPartitions("key", "ci", "cj", "block", "n", "set")
-        pairs = written(routed.select("key", "ci", "cj", "block", "band", "set", "n", "bits", "at").mapInArrow(lambda b: bucket_join(b, share), "a long, b long"), "candidates")
+        pairs = written(routed.select("key", "ci", "cj", "block", "set", "n", "bits").mapInArrow(lambda b: bucket_join(b, share), "a long, b long").distinct(), "candidates")
 
         both = pairs.select(F.col("a").alias("x"), F.col("b").alias("y")).union(pairs.select("b", "a"))
         least = both.groupBy("x").agg(F.least(F.col("x"), F.min("y")).alias("least"))
         placed = pairs.join(least.withColumnsRenamed({"x": "a", "least": "la"}), "a").join(least.withColumnsRenamed({"x": "b", "least": "lb"}), "b")
         placed = placed.select(F.least("la", "lb").alias("place"), "a", "b")
         sent = placed.select("place", F.col("a").alias("set")).union(placed.select("place", "b")).distinct()
-        sent = sent.join(self.sets, "set").join(sketch.select("set", "n"), "set")
+        sent = sent.join(self.sets, "set").join(sizes, "set")
         blocks = sent.groupBy("place").agg(F.ceil(F.sum(F.greatest("n", F.lit(LEAST_GRAMS))) / PLACE_GRAMS).cast("int").alias("blocks"))
         sent = sent.join(blocks, "place").select("place", "set", F.col("rep").alias("doc_id"), "copies", "blocks", _block("set").alias("block"))
         texts = d.join(sent.hint("shuffle_hash"), "doc_id").select("place", F.inline(_cells("block", "blocks")), F.lit(0).alias("kind"), "set", F.lit(None).cast("long").alias("other"), "doc_id", "copies", "text")
