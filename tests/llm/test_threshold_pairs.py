@@ -65,3 +65,11 @@ def test_chunks_of_one_content_lose_nothing(spark):
     df = spark.createDataFrame(rows, SCHEMA).coalesce(1)
     got = {tuple(r) for r in neardup.classes(df.union(df).union(df)).collect()}
     assert got == brute(rows)
+
+
+def test_pipeline_keeps_one_of_every_pair_at_the_threshold(spark):
+    import corpus_pipeline
+
+    df = spark.createDataFrame(pairs_at_half(400), SCHEMA)
+    kept = sorted(r.doc_id for r in corpus_pipeline.ngram_jaccard(spark, df, "").collect())
+    assert kept == list(range(0, 800, 2))
