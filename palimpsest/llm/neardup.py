@@ -557,11 +557,10 @@ def classes(docs: DataFrame, *, threshold: float = THRESHOLD, gram: int = GRAM,
     similar = written(f.similar, "links")
     links = similar.where("b is null").groupBy(F.col("a").alias("set")).agg(F.sum("links").alias("links"))
     of = f.members.join(f.sets, "set").join(links, "set", "left").select("doc_id", "rep", F.col("copies") - 1, F.coalesce("links", F.lit(0)).alias("links")).toDF("doc_id", "rep", "copies", "links")
-    of = of.where("copies > 0 or links > 0").groupBy("doc_id").agg(F.min("rep").alias("copy_of"), F.max("rep").alias("rep"), F.sum("copies").alias("n_copies"), F.sum("links").alias("n_links"))
-    of = written(of, "documents")  # few: those that have a copy
-    # an id with several texts has several representatives, and joins their groups
-    edges = similar.where("b is not null").select(F.col("a").alias("doc_a"), F.col("b").alias("doc_b")).union(of.where("doc_id <> copy_of").select("copy_of", "doc_id"))
-    edges = edges.union(of.where("rep <> copy_of").select("copy_of", "rep")).union(of.where("rep <> doc_id and rep <> copy_of").select("doc_id", "rep"))
+    of = written(of.where("copies > 0 or links > 0"), "documents")  # few: those that have a copy, once a text
+    # an id with several texts is tied to the representative of each, and joins their groups
+    edges = similar.where("b is not null").select(F.col("a").alias("doc_a"), F.col("b").alias("doc_b")).union(of.where("rep <> doc_id").select("rep", "doc_id"))
+    of = of.groupBy("doc_id").agg(F.min("rep").alias("copy_of"), F.sum("copies").alias("n_copies"), F.sum("links").alias("n_links"))
     roots = groups_of(edges)
     return of.join(roots, "doc_id", "left").select("doc_id", F.coalesce("root", "doc_id").alias("class_id"), "copy_of", "n_copies", "n_links")
 

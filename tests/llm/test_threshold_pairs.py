@@ -73,3 +73,13 @@ def test_pipeline_keeps_one_of_every_pair_at_the_threshold(spark):
     df = spark.createDataFrame(pairs_at_half(400), SCHEMA)
     kept = sorted(r.doc_id for r in corpus_pipeline.ngram_jaccard(spark, df, "").collect())
     assert kept == list(range(0, 800, 2))
+
+
+def test_ids_with_three_texts_hold_all_their_groups_together(spark):
+    import corpus_pipeline
+
+    a, b, c, d = (" ".join(f"{x}{k}" for k in range(40)) for x in "abcd")
+    rows = [(9, a), (9, b), (9, c), (9, d), (1, a), (2, b), (3, c), (4, d + " end"), (20, b + " end")]
+    df = spark.createDataFrame(rows, SCHEMA)
+    assert {tuple(r) for r in neardup.classes(df).collect()} == brute(rows)
+    assert {r.doc_id for r in corpus_pipeline.ngram_jaccard(spark, df, "").collect()} == {1}
