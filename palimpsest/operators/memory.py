@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from palimpsest.functions.text import digest, key_level, prefix_end
+from palimpsest.plans.sequences import numbered
 from palimpsest.storage import removed, ship, written
 
 
@@ -108,9 +109,8 @@ def chain_faults(chained: DataFrame) -> DataFrame:
 
 def gaps(records: DataFrame, log: str, seq: str) -> DataFrame:
     """(log, seq, missing): where numbers are missing (above 0) or repeated (-1) before a record."""
-    w = Window.partitionBy(log).orderBy(seq)
-    seen = records.select(F.col(log).alias("log"), F.col(seq).alias("seq"), (F.col(seq) - F.lag(seq).over(w) - 1).alias("missing"))
-    return seen.where("missing <> 0")
+    seen = numbered(records.select(F.col(log).alias("log"), F.col(seq).alias("seq")), "log", ["seq"], "place", {"last": "seq"})
+    return seen.select("log", "seq", (F.col("seq") - F.col("last") - 1).alias("missing")).where("missing <> 0")
 
 
 #: Edges that are followed on the driver; of more, each step is a join.
@@ -272,7 +272,7 @@ def audit_faults(records: DataFrame, manifests: DataFrame, carriers: DataFrame,
 
     records: (manifest, head, commit, seq, prev, executed_at, principal, body), ``body`` what the record says of itself;
     manifests: (manifest, body) as the objects are, by the hash of which they are named; carriers: (commit, manifest)
-    of commits that lead to the tip. Each rule is one query.
+    of commits that lead to the tip. Each rule is one query. A head's records may be very many: they are put in order by ranges.
     """
     r, m = records, manifests.select("manifest", F.col("body").alias("carried"))
     out = [r.where(~F.col("executed_at").between(frm, to)).select("manifest", F.lit("outside the period").alias("fault"))]
@@ -282,8 +282,7 @@ def audit_faults(records: DataFrame, manifests: DataFrame, carriers: DataFrame,
     out.append(joined.where("carried is not null and not body <=> carried").select("manifest", F.lit("record differs")))
     out.append(r.join(carriers, ["commit", "manifest"], "left_anti").select("manifest", F.lit("not carried by its commit")))
     out.append(m.join(r, "manifest", "left_anti").select("manifest", F.lit("record withheld")))
-    w = Window.partitionBy("head").orderBy("seq", "manifest")
-    seen = r.withColumns({"last": F.lag("seq").over(w), "before": F.lag("manifest").over(w)}).where("last is not null")
+    seen = numbered(r.select("head", "seq", "manifest", "prev"), "head", ["seq", "manifest"], "place", {"last": "seq", "before": "manifest"}).where("last is not null")
     out.append(seen.select("manifest", F.when(F.col("seq") == F.col("last"), "repeated").when(F.col("seq") != F.col("last") + 1, "gap").when(F.col("prev") != F.col("before"), "unlinked").alias("fault")).where("fault is not null"))
     every = out[0]
     for x in out[1:]:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from palimpsest.operators import memory as M
 from palimpsest.plans import merkle
+from palimpsest.plans.sequences import numbered
 from palimpsest.queries.catalogue import query
 from palimpsest.queries.retrieval import _META, documents, table
 
@@ -133,10 +134,8 @@ def audit_collect(spark, sf_dir):
 
 
 def _audit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("event_type").orderBy("event_id")
-    return table(spark, sf_dir, "events").select("event_id", F.col("event_type").alias("head"), F.col("user_id").alias("principal"), "value", F.row_number().over(w).cast("long").alias("seq"))
+    e = table(spark, sf_dir, "events").select("event_id", F.col("event_type").alias("head"), F.col("user_id").alias("principal"), "value")
+    return numbered(e, "head", ["event_id"], "place").select("event_id", "head", "principal", "value", (F.col("place") + 1).alias("seq"))
 
 
 @query("audit_gap_check", f"""WITH {_AUDIT}, kept AS (SELECT head, seq FROM audit WHERE value < 60),

@@ -10,9 +10,11 @@ from palimpsest.operators import memory as M
 from palimpsest.operators import records as C
 from palimpsest.operators import retrieval as R
 from palimpsest.plans import statetree
+from palimpsest.plans.sequences import numbered
 from palimpsest.queries.catalogue import query
 from palimpsest.queries.memory import _COMMITS, _OPS, _TIP, commit_edges, levels_sql, ops, seal_sql, tip, turns
 from palimpsest.queries.retrieval import _META, _VECTORS_SQL, DIM, VECTORS, _top, documents, table
+from palimpsest.storage import written
 
 _BLOBS = f"SELECT doc_id, generation, subject, sha256('blob:' || text) AS hash, octet_length(encode(text)) AS n_bytes FROM ({_META}) WHERE text IS NOT NULL"
 _CHUNKS = """b AS (SELECT doc_id, encode(text) AS raw, octet_length(encode(text)) AS n FROM documents WHERE length(text) > 0),
@@ -225,12 +227,12 @@ UNION ALL SELECT manifest, 'record withheld' FROM o WHERE manifest NOT IN (SELEC
 UNION ALL SELECT manifest, CASE WHEN seq = last THEN 'repeated' WHEN seq <> last + 1 THEN 'gap' ELSE 'unlinked' END FROM s WHERE last IS NOT NULL AND (seq = last OR seq <> last + 1 OR prev <> before)""")
 def audit_bundle_faults(spark, sf_dir):
     """A bundle of audit records, forged in eight ways, and what its rules find."""
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("head").orderBy("event_id")
-    a = table(spark, sf_dir, "events").select("event_id", F.col("event_type").alias("head"), F.col("user_id").alias("principal"), F.col("event_id").alias("executed_at"))
-    a = a.withColumn("seq", (F.row_number().over(w) - 1).cast("long")).withColumn("body", F.concat_ws("|", "event_id", "head", "principal", "seq")).withColumn("manifest", digest("manifest", "body"))
-    a = a.withColumns({"prev": F.lag("manifest").over(w), "commit": F.concat(F.lit("c"), F.expr("event_id div 10").cast("string"))})
+    body = lambda *of: F.concat_ws("|", *of)
+    e = table(spark, sf_dir, "events").select("event_id", F.col("event_type").alias("head"), F.col("user_id").alias("principal"))
+    a = written(numbered(e, "head", ["event_id"], "seq", {"last_id": "event_id", "last_principal": "principal"}), "audit")  # read by every rule
+    a = a.withColumn("executed_at", F.col("event_id")).withColumn("body", body("event_id", "head", "principal", "seq")).withColumn("manifest", digest("manifest", "body"))
+    prev = F.when(F.col("seq") > 0, digest("manifest", body("last_id", "head", "last_principal", F.col("seq") - 1)))
+    a = a.withColumns({"prev": prev, "commit": F.concat(F.lit("c"), F.expr("event_id div 10").cast("string"))})
     r = a.where("event_id % 199 <> 4").selectExpr("manifest", "head", "commit", "if(event_id % 211 = 5, seq - 1, seq) seq", "if(event_id % 223 = 6, 'x', prev) prev", "executed_at", "if(event_id % 227 = 7, concat(body, '?'), body) body")
     o = a.where("event_id % 233 <> 9").selectExpr("manifest", "if(event_id % 229 = 8, concat(body, '!'), body) body")
     top = a.agg(F.max("event_id")).first()[0] or 0
