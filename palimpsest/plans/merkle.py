@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 from palimpsest.storage import removed, ship, written
 
 BLOCK_BITS = 12
+#: Leaf hashes of a row of what is written: workers get rows by the thousand.
+ROW = 64
 
 
 def leaf(data: bytes) -> bytes:
@@ -164,9 +166,10 @@ def root(rows: DataFrame, order: str | list[str], data: Column | str, block_bits
     def leaves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at = 0
         for b in batches:
-            h = b"".join([hashlib.sha256(b"\x00" + (d or b"")).digest() for d in b.column("d").to_pylist()])
-            yield pa.RecordBatch.from_arrays([b.column("part").slice(0, 1), pa.array([at], pa.int64()), pa.array([h], pa.binary())], ["part", "at", "hashes"])
-            at += len(b)
+            h = [hashlib.sha256(b"\x00" + (d or b"")).digest() for d in b.column("d").to_pylist()]
+            cuts = range(0, len(h), ROW)
+            yield pa.RecordBatch.from_arrays([b.column("part").slice(0, len(cuts)), pa.array([at + k for k in cuts], pa.int64()), pa.array([b"".join(h[k : k + ROW]) for k in cuts], pa.binary())], ["part", "at", "hashes"])
+            at += len(h)
 
     level = written(ranged.mapInArrow(leaves, "part int, at long, hashes binary").where("length(hashes) > 0"), "leaves")
     sizes = {r[0]: r[1] for r in level.groupBy("part").agg((F.sum(F.length("hashes")) / 32).cast("long")).collect()}  # a row a range
@@ -204,15 +207,31 @@ def root(rows: DataFrame, order: str | list[str], data: Column | str, block_bits
 
 
 def _blocks(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
-    """Runs (at, hashes) of successive nodes, cut at multiples of ``size``: whole blocks folded, the others as they are."""
+    """Runs (at, hashes) of successive nodes, put together and cut at multiples of ``size``: whole blocks folded, the others as they are.
+
+    One block at most is held, and what is given out comes a block at a time.
+    """
+    start, run = 0, bytearray()
+
+    def done() -> pa.RecordBatch:
+        full = len(run) == 32 * size
+        out = fold([bytes(run[k : k + 32]) for k in range(0, len(run), 32)]) if full else bytes(run)
+        return pa.RecordBatch.from_arrays([pa.array([start // size]), pa.array([start]), pa.array([out], pa.binary()), pa.array([full])], ["block", "at", "hashes", "whole"])
+
     for b in batches:
-        out = []
-        for at, h in zip(b.column("at").to_pylist(), b.column("hashes").to_pylist()):
-            end = at + len(h) // 32
-            while at < end:
-                stop = min(end, (at // size + 1) * size)
-                part, h = h[: 32 * (stop - at)], h[32 * (stop - at) :]
-                full = stop - at == size
-                out.append((at // size, at, fold([part[k : k + 32] for k in range(0, len(part), 32)]) if full else part, full))
-                at = stop
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.binary(), pa.bool_()))] if out else [pa.array([], t) for t in (pa.int64(), pa.int64(), pa.binary(), pa.bool_())], ["block", "at", "hashes", "whole"])
+        for at, h in zip(b.column("at"), b.column("hashes")):
+            at, h = at.as_py(), h.as_py()
+            if run and at != start + len(run) // 32:
+                yield done()
+                run.clear()
+            while h:
+                if not run:
+                    start = at
+                take = 32 * ((at // size + 1) * size - at)
+                run += h[:take]
+                at, h = at + len(h[:take]) // 32, h[take:]
+                if at % size == 0:
+                    yield done()
+                    run.clear()
+    if run:
+        yield done()

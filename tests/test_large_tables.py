@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from palimpsest.operators import memory as M
+from palimpsest.plans import merkle
 from palimpsest.plans.sequences import numbered
 
 
@@ -39,3 +40,23 @@ def test_no_task_has_a_whole_log(spark, cut):
     assert sorted((r.seq, r.missing) for r in found.collect() if r.missing != 1) == [(602, 3)] and found.count() == 6998
     sizes = numbered(df, "head", ["seq"], "n").groupBy(F.spark_partition_id()).count().collect()
     assert len(sizes) > 2 and max(r["count"] for r in sizes) < 7000 * 0.7
+
+
+def test_workers_get_short_runs_of_hashes(spark, monkeypatch):
+    rows = spark.range(0, 9000, 1, 3).select(F.lpad(F.col("id").cast("string"), 5, "0").alias("data"))
+    sizes, made = [], merkle.written
+    monkeypatch.setattr(merkle, "written", lambda df, name: sizes.append((name, (w := made(df, name)).agg(F.max(F.length("hashes"))).first()[0])) or w)
+    got = merkle.root(rows, "data", "data", block_bits=5).first()
+    assert (got.root, got.n) == (merkle.sealed([merkle.leaf(f"{k:05}".encode()) for k in range(9000)]).hex(), 9000)
+    assert sizes[0][0] == "leaves" and max(n for _, n in sizes) <= 32 * merkle.ROW
+
+
+def test_runs_are_put_together_to_blocks():
+    import pyarrow as pa
+
+    h = [merkle.leaf(str(k).encode()) for k in range(100)]
+    runs = [(at, b"".join(h[at : at + n])) for at, n in ((3, 3), (6, 7), (13, 20), (40, 1), (41, 7), (60, 4), (64, 16))]
+    batches = [pa.RecordBatch.from_arrays([pa.array([at]), pa.array([x], pa.binary())], ["at", "hashes"]) for at, x in runs]
+    got = [r for b in merkle._blocks(iter(batches), 8) for r in b.to_pylist()]
+    assert [(r["at"], r["whole"]) for r in got] == [(3, False), (8, True), (16, True), (24, True), (32, False), (40, True), (60, False), (64, True), (72, True)]
+    assert all(r["hashes"] == (merkle.fold(h[r["at"] : r["at"] + 8]) if r["whole"] else h[r["at"]] if r["at"] == 32 else b"".join(h[r["at"] : (r["at"] // 8 + 1) * 8])) and r["block"] == r["at"] // 8 for r in got)
