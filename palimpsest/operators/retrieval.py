@@ -8,7 +8,8 @@ from __future__ import annotations
 
 import math
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -69,9 +70,45 @@ def terms_of(docs: DataFrame, *keep: str) -> DataFrame:
     return spread(docs.select(*keep, "text")).select(*keep, F.explode_outer(tokens("text")).alias("term")).where("term is not null")
 
 
+#: Ids of several rows that are gathered on the driver, and terms of a batch of postings.
+REPEATED, BATCH = 10_000, 65_536
+
+
+def merged(docs: DataFrame, found: DataFrame, merge: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``found``, of rows of single documents, with ``merge`` over those whose id several rows of ``docs`` have; nothing is shuffled where ids are unique."""
+    ids = docs.groupBy(F.col("doc_id").alias("id")).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("id")
+    rows = ids.limit(REPEATED + 1).collect()
+    if not rows:
+        return found
+    if len(rows) > REPEATED:
+        return merge(found)
+    several = F.broadcast(docs.sparkSession.createDataFrame(rows, ids.schema))
+    same = F.col("doc_id").eqNullSafe(F.col("id"))
+    return found.join(several, same, "left_anti").unionByName(merge(found.join(several, same, "left_semi")))
+
+
 def postings(docs: DataFrame) -> DataFrame:
-    """(doc_id, term, tf). Counting is combined within a partition before anything is shuffled."""
-    return terms_of(docs, "doc_id").groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("tf"))
+    """(doc_id, term, tf). Terms are counted text by text, so no table of many documents' terms is kept; only ids of several rows are added up."""
+    ship(docs.sparkSession)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        split = splitter()
+        for b in batches:
+            row, term, tf = [], [], []
+            texts = b.column(1)
+            for i in range(len(b) + 1):
+                if row and (i == len(b) or len(row) >= BATCH):
+                    yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row)), pa.array(term, pa.string()), pa.array(tf, pa.int64())], ["doc_id", "term", "tf"])
+                    row, term, tf = [], [], []
+                if i < len(b) and (text := texts[i].as_py()):
+                    seen = Counter(split(text))
+                    row += [i] * len(seen)
+                    term += seen
+                    tf += seen.values()
+
+    rows = docs.select("doc_id", "text")
+    found = spread(rows).mapInArrow(count, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, term string, tf long")
+    return merged(docs, found, lambda f: f.groupBy("doc_id", "term").agg(F.sum("tf").alias("tf")))
 
 
 def lengths(docs: DataFrame) -> DataFrame:
@@ -84,7 +121,7 @@ ASKED = 200_000
 WEIGHTS = 8_000_000
 
 
-def _query_terms(queries: DataFrame) -> DataFrame:
+def query_terms(queries: DataFrame) -> DataFrame:
     return terms_of(queries, "query_id").groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("qtf"))
 
 
@@ -111,6 +148,24 @@ def occurrences(docs: DataFrame, terms: list[str]) -> DataFrame:
     return spread(docs.select(F.col("doc_id").cast("long"), "text")).mapInArrow(count, "doc_id long, dl int, term array<int>, tf array<int>")
 
 
+class Counted(NamedTuple):
+    """Terms asked for, and how often each document has them, written (doc_id, dl, term, tf)."""
+
+    found: DataFrame
+    rows: list  # (query_id, term, qtf)
+    terms: list[str]
+    ids: np.ndarray
+
+
+def counted(docs: DataFrame, asked: DataFrame) -> Counted | None:
+    """The terms of ``asked`` (query_id, term, qtf) in documents, or None where they are too many for tables on every worker."""
+    rows = asked.limit(ASKED + 1).collect()
+    terms, ids = sorted({r.term for r in rows}), np.array(sorted({r.query_id for r in rows}), np.int64)
+    if len(rows) > ASKED or len(terms) * len(ids) > WEIGHTS:
+        return None
+    return Counted(written(occurrences(docs, terms), "occurrences"), rows, terms, ids)
+
+
 def bm25(docs: DataFrame, queries: DataFrame, k: int | None = None) -> DataFrame:
     """(query_id, doc_id, score) of every document that has a term of the query; with ``k``, of the k best of each partition at least.
 
@@ -122,12 +177,14 @@ def bm25(docs: DataFrame, queries: DataFrame, k: int | None = None) -> DataFrame
     time as a matrix product; with ``k`` only the best of each partition are shuffled. Beyond, the terms
     are joined by a shuffle, to the same scores.
     """
-    asked = _query_terms(queries)
-    rows = asked.limit(ASKED + 1).collect()
-    terms, ids = sorted({r.term for r in rows}), np.array(sorted({r.query_id for r in rows}), np.int64)
-    if len(rows) > ASKED or len(terms) * len(ids) > WEIGHTS:
-        return joined_bm25(docs, asked)
-    found = written(occurrences(docs, terms), "occurrences")
+    asked = query_terms(queries)
+    of = counted(docs, asked)
+    return joined_bm25(docs, asked) if of is None else scored(of, k)
+
+
+def scored(of: Counted, k: int | None = None) -> DataFrame:
+    """The scores of ``bm25`` by matrices."""
+    found, rows, terms, ids = of
     df, n, total = np.zeros(len(terms)), 0, 0
     for r in found.mapInArrow(_counted, "term int, n long, dl long").groupBy("term").agg(F.sum("n").alias("n"), F.sum("dl").alias("dl")).collect():  # a row a query term, and one
         if r.term < 0:
@@ -141,7 +198,7 @@ def bm25(docs: DataFrame, queries: DataFrame, k: int | None = None) -> DataFrame
         d = df[number[r.term]]
         if d:
             weights[number[r.term], at[r.query_id]] = r.qtf * math.log((n - d + 0.5) / (d + 0.5) + 1)
-    shared = docs.sparkSession.sparkContext.broadcast(weights)
+    shared = found.sparkSession.sparkContext.broadcast(weights)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w, kept = shared.value, (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))
@@ -169,6 +226,31 @@ def bm25(docs: DataFrame, queries: DataFrame, k: int | None = None) -> DataFrame
     return found.mapInArrow(score, "query_id long, doc_id long, score double")
 
 
+def having(docs: DataFrame, of: Counted, tenths: int) -> DataFrame:
+    """(query_id, doc_id) of documents that have so many tenths of a query's different terms: counted where they are, as a matrix product."""
+    number, at = {t: i for i, t in enumerate(of.terms)}, {int(q): i for i, q in enumerate(of.ids)}
+    asks = np.zeros((len(of.terms), len(of.ids)), np.float32)
+    for r in of.rows:
+        asks[number[r.term], at[r.query_id]] = 1
+    shared, ids, need = docs.sparkSession.sparkContext.broadcast(asks), of.ids, asks.sum(0) * tenths
+
+    def enough(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for lo in range(0, len(b), 1024):
+                part = b.slice(lo, 1024)
+                t = part.column("term")
+                row = np.repeat(np.arange(len(part)), pc.list_value_length(t).to_numpy())
+                there, col = np.unique(t.flatten().to_numpy(), return_inverse=True)
+                a = np.zeros((len(part), len(there)), np.float32)
+                a[row, col] = 1
+                m = a @ shared.value[there]
+                i, q = np.nonzero((m > 0) & (m * 10 >= need))
+                yield pa.RecordBatch.from_arrays([pa.array(ids[q]), part.column("doc_id").take(pa.array(i))], ["query_id", "doc_id"])
+
+    rows = merged(docs, of.found.select("doc_id", "term"), lambda f: f.groupBy("doc_id").agg(F.array_distinct(F.flatten(F.collect_list("term"))).alias("term")))
+    return rows.mapInArrow(enough, "query_id long, doc_id long")
+
+
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Documents that have each term, and as term -1 the documents and their length."""
     for b in batches:
@@ -278,9 +360,10 @@ def quantised(vectors: DataFrame) -> DataFrame:
 
 def rank_quality(hits: DataFrame, relevance: DataFrame, k: int) -> DataFrame:
     """(query_id, ndcg, recall) at k; relevance is (query_id, doc_id, rel), of which a query may have none."""
-    ideal = relevance.where("rel > 0").withColumn("r", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("rel"), "doc_id")))
+    good, w = relevance.where("rel > 0"), Window.partitionBy("query_id").orderBy(F.desc("rel"), "doc_id")
     gain = lambda rel, rank: F.col(rel) / F.log2(F.col(rank) + 1)
-    ideal = ideal.groupBy("query_id").agg(F.sum(F.when(F.col("r") <= k, gain("rel", "r"))).alias("best"), F.count(F.lit(1)).alias("n"))
+    best = good.withColumn("r", F.row_number().over(w)).where(F.col("r") <= k).groupBy("query_id").agg(F.sum(gain("rel", "r")).alias("best"))  # cut within partitions
+    ideal = best.join(good.groupBy("query_id").agg(F.count(F.lit(1)).alias("n")), "query_id")
     got = hits.where(F.col("rank") <= k).join(relevance.where("rel > 0"), ["query_id", "doc_id"]).groupBy("query_id").agg(F.sum(gain("rel", "rank")).alias("dcg"), F.count(F.lit(1)).alias("m"))
     both = ideal.join(got, "query_id", "left").fillna(0, ["dcg", "m"])
     return both.select("query_id", F.round(F.col("dcg") / F.col("best"), 6).alias("ndcg"), F.round(F.col("m") / F.col("n"), 6).alias("recall"))

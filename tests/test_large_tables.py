@@ -6,8 +6,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from palimpsest.operators import memory as M
+from palimpsest.operators import retrieval as R
 from palimpsest.plans import merkle
 from palimpsest.plans.sequences import numbered
+from palimpsest.queries.retrieval import judged
 
 
 @pytest.fixture()
@@ -60,3 +62,32 @@ def test_runs_are_put_together_to_blocks():
     got = [r for b in merkle._blocks(iter(batches), 8) for r in b.to_pylist()]
     assert [(r["at"], r["whole"]) for r in got] == [(3, False), (8, True), (16, True), (24, True), (32, False), (40, True), (60, False), (64, True), (72, True)]
     assert all(r["hashes"] == (merkle.fold(h[r["at"] : r["at"] + 8]) if r["whole"] else h[r["at"]] if r["at"] == 32 else b"".join(h[r["at"] : (r["at"] // 8 + 1) * 8])) and r["block"] == r["at"] // 8 for r in got)
+
+
+def test_postings_of_unique_ids_are_not_shuffled(spark):
+    rows = [(1, "a b A"), (2, "c " * 9), (3, None), (4, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = R.postings(df)
+    assert sorted(map(tuple, got.collect())) == [(1, "a", 2), (1, "b", 1), (2, "c", 9)]
+    assert "HashAggregate" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("most", [10_000, 1])
+def test_ids_of_several_rows_are_added_up(spark, monkeypatch, most):
+    monkeypatch.setattr(R, "REPEATED", most)
+    rows = [(1, "a b"), (1, "a c"), (2, "a"), (None, "x"), (None, "x y"), (3, "a b")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(map(tuple, R.postings(df).collect()), key=str) == sorted([(1, "a", 2), (1, "b", 1), (1, "c", 1), (2, "a", 1), (None, "x", 2), (None, "y", 1), (3, "a", 1), (3, "b", 1)], key=str)
+    q = spark.createDataFrame([(0, "a b c"), (1, "a a b"), (2, "zz")], "query_id long, text string")
+    own = df.where("doc_id is not null")
+    of = R.counted(own, R.query_terms(q))
+    got = sorted(map(tuple, R.having(own, of, 9).collect()))
+    assert got == sorted(tuple(r)[:2] for r in judged(own, q).collect()) == [(0, 1), (1, 1), (1, 3)]
+
+
+def test_no_query_s_relevant_documents_are_all_sorted(spark):
+    hits = spark.createDataFrame([(1, 7, 1), (1, 5000, 2)], "query_id long, doc_id long, rank int")
+    rel = spark.range(0, 3000).select((F.col("id") % 2).alias("query_id"), F.col("id").alias("doc_id"), F.lit(1).alias("rel"))
+    got = R.rank_quality(hits, rel, 2)
+    assert sorted(map(tuple, got.collect())) == [(0, 0.0, 0.0), (1, 0.613147, 0.000667)]
+    assert "WindowGroupLimit" in got._jdf.queryExecution().executedPlan().toString()
